@@ -42,5 +42,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op4_packing, op5_token_counts)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_report
+
+    return quality_report(read_table(spark, sf_dir, "documents"))
+
+
+def op8_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op4_packing, op5_token_counts, op8_minhash_near_dups, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
