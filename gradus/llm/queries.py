@@ -42,6 +42,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dups import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_report
 
@@ -54,5 +60,5 @@ def op8_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op4_packing, op5_token_counts, op8_minhash_near_dups, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_records, op4_packing, op5_token_counts, op8_minhash_near_dups, op9_substring_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
