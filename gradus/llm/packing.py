@@ -54,16 +54,15 @@ def _pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int | Non
         encoder = worker(UnitEncoder, tokenizer_path)
         end = [] if end_id is None else [end_id]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        for whole in batches:
-            for batch in by_bytes(whole, "text"):
-                rows = []
-                for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
-                    ids = np.append(np.frombuffer(raw, encoder.dtype).astype("<u4"), np.array(end, "<u4"))
-                    for at in range(0, len(ids), length):
-                        piece = ids[at : at + length]
-                        rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names)
+        for batch in by_bytes(batches, "text"):
+            rows = []
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
+                ids = np.append(np.frombuffer(raw, encoder.dtype).astype("<u4"), np.array(end, "<u4"))
+                for at in range(0, len(ids), length):
+                    piece = ids[at : at + length]
+                    rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names)
 
     return docs.mapInArrow(cut, PIECES)
 

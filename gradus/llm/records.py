@@ -83,25 +83,24 @@ def write_records(docs: DataFrame, tokenizer_path: str, out_dir: str, *, id_col:
         fs, root = _open(out_dir)
         part = TaskContext.get().partitionId()
         name, data, index, first, records, tokens, at = f"ids-{part:06d}-{uuid.uuid4().hex}", None, None, None, 0, 0, 0
-        for whole in batches:
-            for batch in by_bytes(whole, "text"):
-                if data is None and batch.num_rows:
-                    fs.create_dir(root, recursive=True)
-                    data, index = fs.open_output_stream(f"{root}/{name}.rec"), fs.open_output_stream(f"{root}/{name}.idx")
-                    data.write(struct.pack(HEADER, MAGIC, VERSION, encoder.width))
-                    at = struct.calcsize(HEADER)
-                    first = batch.column("doc_id")[0].as_py()
-                rows = np.zeros(batch.num_rows, INDEX)
-                for k, (doc, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()))):
-                    ids += end
-                    framed = frame(ids)
-                    data.write(framed)
-                    n = len(ids) // encoder.width
-                    rows[k] = (doc or 0, at, n, doc is not None)
-                    at += len(framed)
-                    tokens += n
-                records += len(rows)
-                index.write(rows.tobytes())
+        for batch in by_bytes(batches, "text"):
+            if data is None and batch.num_rows:
+                fs.create_dir(root, recursive=True)
+                data, index = fs.open_output_stream(f"{root}/{name}.rec"), fs.open_output_stream(f"{root}/{name}.idx")
+                data.write(struct.pack(HEADER, MAGIC, VERSION, encoder.width))
+                at = struct.calcsize(HEADER)
+                first = batch.column("doc_id")[0].as_py()
+            rows = np.zeros(batch.num_rows, INDEX)
+            for k, (doc, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")))):
+                ids += end
+                framed = frame(ids)
+                data.write(framed)
+                n = len(ids) // encoder.width
+                rows[k] = (doc or 0, at, n, doc is not None)
+                at += len(framed)
+                tokens += n
+            records += len(rows)
+            index.write(rows.tobytes())
         if data is not None:
             data.close()
             index.close()

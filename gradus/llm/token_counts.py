@@ -25,14 +25,13 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
         from .tokens import UnitCounter, by_bytes, worker
 
         counter = worker(UnitCounter, tokenizer_path)
-        for whole in batches:
-            for batch in by_bytes(whole, "text"):
-                texts = batch.column("text")
-                n = counter.count(texts.to_pylist())
-                n_bytes = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
+        for batch in by_bytes(batches, "text"):
+            texts = batch.column("text")
+            n = counter.count(texts)
+            n_bytes = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+            )
 
     return source.mapInArrow(counts, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

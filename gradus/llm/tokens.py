@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse
 
-#: Distinct units kept per worker before the cache starts afresh (about 100 MB).
-MAX_UNITS = 500_000
+#: Distinct units kept per worker before the cache starts afresh (about 150 MB).
+MAX_UNITS = 1_000_000
+#: Longer units are encoded each time: a few of them could fill the cache's memory.
+LONG_UNIT = 200
 
 
 class UnitEncoder:
@@ -27,6 +28,7 @@ class UnitEncoder:
 
     def __init__(self, path: str, max_units: int = MAX_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,42 +39,83 @@ class UnitEncoder:
         kind = repr(self.tokenizer.pre_tokenizer)
         self._units = self.tokenizer.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
         self._cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Null and empty texts give no ids."""
+    def _unit_bytes(self, units: list[str], run: int = 500) -> list[bytes]:
+        """Ids of " " + unit each.  Units without white space at an end are encoded many at once, which is safe as
+        cutting there is, and told apart by the tokens that start with a space."""
+        import numpy as np
+
+        out: list[bytes] = [b""] * len(units)
+        joined = [i for i, u in enumerate(units) if u and not u[0].isspace() and not u[-1].isspace()]
+        alone = [i for i, u in enumerate(units) if not (u and not u[0].isspace() and not u[-1].isspace())]
+        groups = [joined[at : at + run] for at in range(0, len(joined), run)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(" " + units[i] for i in g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            at = (np.flatnonzero(self._spaced[ids]) * self.width).tolist()
+            if len(at) == len(group):
+                raw = ids.tobytes()
+                for i, a, b in zip(group, at, [*at[1:], len(raw)]):
+                    out[i] = raw[a:b]
+            else:
+                alone += group
+        for i, x in zip(alone, self._bytes([" " + units[i] for i in alone])):
+            out[i] = x
+        return out
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow array or list; null and empty texts give none."""
+        import numpy as np
+        import pyarrow as pa
+
+        texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, str, list[str]]] = []
+        cut: list[int] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self._units and not self._UNSAFE.search(text) and not any(a in text for a in self._added):
-                first, *rest = text.split(" ")
-                cut.append((i, first, rest))
-            else:
-                whole.append(i)
+            if text:
+                safe = self._units and not self._UNSAFE.search(text) and not any(a in text for a in self._added)
+                (cut if safe else whole).append(i)
         for i, ids in zip(whole, self._bytes([texts[i] for i in whole])):
             out[i] = ids
-        cache, missing = self._cache, set()
-        for _, _, rest in cut:
-            missing.update(filterfalse(cache.__contains__, rest))
-        new = list(missing)
-        cache.update(zip(new, self._bytes([" " + x for x in new])))
-        for (i, _, rest), head in zip(cut, self._bytes([x[1] for x in cut])):
-            out[i] = head + b"".join(map(cache.__getitem__, rest))
+        if not cut:
+            return out
+        starts, index, units = _split([texts[i] for i in cut])
+        cache = self._cache
+        found = list(map(cache.get, units))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(missing, self._unit_bytes([units[i] for i in missing])):
+            found[i] = x
+            if len(units[i]) <= LONG_UNIT:
+                cache[units[i]] = x
+        taken = pa.array(found, pa.binary()).take(index)
+        at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4).tolist()
+        data = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
+        heads = self._bytes([texts[i].split(" ", 1)[0] for i in cut])  # a text's first unit has no space before it
+        for i, head, a, b in zip(cut, heads, starts[:-1], starts[1:]):
+            out[i] = head + data[at[a + 1] : at[b]]
         if len(cache) > self.max_units:
             cache.clear()
-        for x in new:  # such units are rare, and few of them may hold much memory
-            if len(x) > 200:
-                cache.pop(x, None)
         return out
 
 
+def _split(texts: list[str]):
+    """(offsets, index, units): the pieces of texts between spaces, text after text, as an index into distinct units."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    coded = parts.values.dictionary_encode()
+    return parts.offsets.to_pylist(), coded.indices, coded.dictionary.to_pylist()
+
+
 class UnitCounter:
     """Token counts of a sentencepiece model or of a tokenizers file.
 
@@ -102,24 +145,37 @@ class UnitCounter:
     def _lengths(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self._model.encode(texts, num_threads=1)] if texts else []
 
-    def count(self, texts: list[str | None]) -> list[int]:
+    def count(self, texts) -> list[int]:
+        """Token counts of an Arrow array or list of texts; null and empty texts have none."""
+        import numpy as np
+        import pyarrow as pa
+
         if self._encoder:
             return [len(x) // self._encoder.width for x in self._encoder.encode(texts)]
-        texts = [t or "" for t in texts]
+        texts = [t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
         if not self._units:
             return self._lengths(texts)
-        parts = [[] if not t else t.split(" ") if "  " not in t and "▁" not in t and t[0] != " " and t[-1] != " " else self._SAFE.split(t) for t in texts]
-        cache, missing = self._cache, set()
-        for p in parts:
-            missing.update(filterfalse(cache.__contains__, p))
-        new = list(missing)
-        cache.update(zip(new, self._lengths(new)))
-        out = [sum(map(cache.__getitem__, p)) for p in parts]
+        out, cut = [0] * len(texts), []
+        for i, t in enumerate(texts):
+            if "  " not in t and "▁" not in t and t[:1] != " " and t[-1:] != " ":
+                cut.append(i)
+            else:
+                out[i] = sum(self._lengths(self._SAFE.split(t)))
+        if not cut:
+            return out
+        starts, index, units = _split([texts[i] for i in cut])
+        cache = self._cache
+        found = list(map(cache.get, units))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(missing, self._lengths([units[i] for i in missing])):
+            found[i] = x
+            if len(units[i]) <= LONG_UNIT:
+                cache[units[i]] = x
+        ends = np.concatenate([[0], np.cumsum(np.array(found, np.int64)[index.to_numpy()])])
+        for i, a, b in zip(cut, starts[:-1], starts[1:]):
+            out[i] = int(ends[b] - ends[a])
         if len(cache) > self.max_units:
             cache.clear()
-        for x in new:
-            if len(x) > 200:
-                cache.pop(x, None)
         return out
 
 
@@ -134,17 +190,29 @@ def worker(kind: type, path: str):
     return _loaded[key]
 
 
-def by_bytes(batch, column: str, limit: int = 4_000_000):
-    """Slices of an Arrow batch of about ``limit`` bytes of that string column each, one row at least."""
+def by_bytes(batches, column: str, limit: int = 8_000_000):
+    """Arrow batches dealt anew so that each holds about ``limit`` bytes of that string column: small ones are joined,
+    large ones cut; a row is never divided."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
+    held, size = [], 0
+
+    def joined():
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+        held.clear()
+        return whole
+
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if size and size + n > limit:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                start, size = i, 0
+                yield from joined()
+            size += n
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield from joined()
