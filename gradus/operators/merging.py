@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..schemas import CALL_KEY, CALLS
-from ..sources.logs import numbered_log, path_exists, person_of
+from ..sources.logs import file_names, numbered_log, path_exists, person_of
 
 
 def read_shared_logs(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,5 +61,5 @@ def merge_logs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
     pattern = f"{folder.rstrip('/')}/api_calls_*.jsonl"
     log = read_shared_logs(spark, folder)
     marked = mark_first(log.where("malformed is null").drop("malformed"))
-    files = spark.read.format("binaryFile").load(pattern).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    files = spark.createDataFrame([(n,) for n in file_names(spark, pattern)], "file_name string")
     return merged(marked), by_person(marked, files), by_stage(marked)

@@ -8,11 +8,15 @@ from pyspark.sql.types import StructType
 from ..functions.answers import strip
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path or glob has anything."""
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what the path or glob has, empty files too, in order."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    return sorted(f.getPath().getName() for f in found or [])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(file_names(spark, path))
 
 
 def person_of(file_name: Column) -> Column:
