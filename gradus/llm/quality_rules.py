@@ -22,6 +22,9 @@ METRICS = ("symbol_mille", "dup_line_mille", "repeat_mille", "word_len_cents")
 #: language and source.  The floor keeps groups without spread, and small ones, from rejecting on noise.
 LIMITS = {"symbol_mille": (30, 8), "dup_line_mille": (400, 8), "repeat_mille": (400, 8), "word_len_cents": (1000, 8)}
 
+#: Rows that a group needs for limits of its own.
+GROUP_ROWS = 100
+
 
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once: a lambda variable can't be inlined by the optimizer."""
@@ -76,11 +79,11 @@ def sketch(rows: DataFrame, keys: list[str], metrics=METRICS) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
-    """(keys, metric, one column for each point): the least bucket that reaches the share of the group's rows.  A group has a
+    """(keys, metric, n, one column for each point): the least bucket that reaches the share of the group's rows.  A group has a
     bounded number of buckets, so its window is small."""
     by = Window.partitionBy(*keys, "metric")
     ranked = sketches.withColumn("below", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by))
-    return ranked.groupBy(*keys, "metric").agg(*[F.min(F.when(F.col("below") >= F.col("all") * p, F.col("bucket"))).alias(name) for name, p in points.items()])
+    return ranked.groupBy(*keys, "metric").agg(F.max("all").alias("n"), *[F.min(F.when(F.col("below") >= F.col("all") * p, F.col("bucket"))).alias(name) for name, p in points.items()])
 
 
 def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -96,29 +99,49 @@ def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFr
     })
 
 
-def limits(measured: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
-    """(keys, one limit column for each metric, named as it), from the group's sketches over all rows."""
-    rows = measured.select(*keys, *[F.col(prefix + m).alias(m) for m in METRICS])
-    points = quantiles(sketch(rows, keys), keys, {"q50": 0.5, "q75": 0.75})
-    floor = F.lit(None)
-    factor = F.lit(None)
+def _limits_of(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, one limit column for each metric), from sketches of finer keys, which are merged."""
+    merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    points = quantiles(merged, keys, {"q50": 0.5, "q75": 0.75})
+    floor, factor = F.lit(None), F.lit(None)
     for m, (low, spread) in LIMITS.items():
         floor, factor = F.when(F.col("metric") == m, low).otherwise(floor), F.when(F.col("metric") == m, spread).otherwise(factor)
     limit = F.greatest(floor, F.col("q50") + factor * (F.col("q75") - F.col("q50"))).cast("long")
-    return points.withColumn("limit", limit).groupBy(*keys).pivot("metric", list(METRICS)).agg(F.min("limit"))
+    per_metric = [F.max(F.when(F.col("metric") == m, limit)).alias(m) for m in METRICS]
+    return points.groupBy(*keys).agg(F.max("n").alias("n"), *per_metric)
+
+
+def limits(measured: DataFrame, keys: list[str], work: Workspace, prefix: str = "") -> DataFrame:
+    """(keys, one limit column for each metric, named as it), from sketches over all rows.
+
+    A group of fewer than GROUP_ROWS rows says little about itself, so its sketch is merged with its relatives': limits come from the
+    finest of (language, source), language and all rows that has enough, else from the floors.
+    """
+    rows = measured.select(*keys, *[F.col(prefix + m).alias(m) for m in METRICS])
+    sketches = work.write(sketch(rows, keys), "sketches")
+    chosen = {m: F.lit(LIMITS[m][0]).cast("long") for m in METRICS}
+    top = _limits_of(sketches, []).first()
+    if top and top["n"] is not None and top["n"] >= GROUP_ROWS:
+        chosen = {m: F.lit(top[m]).cast("long") for m in METRICS}
+    out = _limits_of(sketches, keys)
+    for k in range(1, len(keys)):
+        above = _limits_of(sketches, keys[:k]).select(*[F.col(x).alias(f"__{k}_{x}") for x in (*keys[:k], "n", *METRICS)])
+        out = out.join(above, [F.col(x).eqNullSafe(F.col(f"__{k}_{x}")) for x in keys[:k]], "left")
+        chosen = {m: F.when(F.col(f"__{k}_n") >= GROUP_ROWS, F.col(f"__{k}_{m}")).otherwise(chosen[m]) for m in METRICS}
+    return out.select(*keys, *[F.when(F.col("n") >= GROUP_ROWS, F.col(m)).otherwise(chosen[m]).alias(m) for m in METRICS])
 
 
 #: Groups up to which the limits are broadcast (five numbers each); their count is checked before, and more are joined by shuffling.
 BROADCAST_GROUPS = 50_000
 
 
-def judge(measured: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
+def judge(measured: DataFrame, keys: list[str], work: Workspace, prefix: str = "") -> DataFrame:
     """``measured`` with base_failed and kept under ``prefix``.
 
     ``measured`` is read twice, so pass a written table.  Keys are compared null-safe: null languages or
     sources form a group.  A row is kept if no base rule and no limit of its group rejects it.
     """
-    found = limits(measured, keys, prefix)
+    found = limits(measured, keys, work, prefix)
     renamed = found.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], *[F.col(m).alias(f"__limit_{m}") for m in METRICS])
     if renamed.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         renamed = F.broadcast(renamed)
@@ -144,7 +167,7 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names = [f"__key{i}" for i in range(len(keys))]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
     measured = work.write(measure(source).drop("text"), "measured")
-    return judge(measured, names).drop(*names)
+    return judge(measured, names, work).drop(*names)
 
 
 def filter_documents(docs: DataFrame, *, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -155,5 +178,5 @@ def filter_documents(docs: DataFrame, *, text_col: str = "text", keys: tuple[str
     """
     work = Workspace(docs.sparkSession, "quality")
     measured = work.write(measure(docs, text_col, "__rule_"), "measured")
-    judged = judge(measured, list(keys), "__rule_")
+    judged = judge(measured, list(keys), work, "__rule_")
     return judged.where("__rule_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

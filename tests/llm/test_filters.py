@@ -27,7 +27,7 @@ def quality_docs(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice(["a", "b", " ", " ", "\n", "\x0b", "#", "<", "é ", "\xa0", "😀"]) for _ in range(rng.randint(0, 120))) for _ in range(300)]
     texts += [None, "", "   \n", "a", "a b", "a b c", "a b c a b c", "x " * 500, "line\nline\n line\n", "$ \\1 %"]
-    clean = [" ".join(f"v{rng.randint(0, 999)}" for _ in range(80)) for _ in range(60)]
+    clean = [" ".join(f"v{rng.randint(0, 999)}" for _ in range(80)) for _ in range(160)]
     noisy = [" ".join(f"v{rng.randint(0, 999)}&&" for _ in range(80)) for _ in range(6)]
     rows = [(i, t, "en", None if i % 5 == 0 else "s") for i, t in enumerate(texts)] + [(1000 + i, t, "de", "s") for i, t in enumerate(clean)] + [(2000 + i, t, "de", "s") for i, t in enumerate(noisy)]
     rows += [(None, clean[0], None, None), (1000, clean[0], "de", "s")]
@@ -45,6 +45,8 @@ def test_quality_measures_and_verdicts(spark):
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
         if r["doc_id"] is not None and r["doc_id"] >= 1000:
             assert r["kept"] == (r["doc_id"] < 2000)
+    few = quality_rules.quality_report(docs.where("doc_id >= 1030 and (doc_id < 1060 or doc_id = 2000)")).collect()
+    assert len(few) == 31 and all(r["kept"] == (r["doc_id"] < 2000) for r in few)
     kept = quality_rules.filter_documents(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
     assert quality_rules.quality_report(docs.limit(0)).count() == 0 and quality_rules.filter_documents(docs.limit(0)).count() == 0
