@@ -101,6 +101,39 @@ def _tables(reps: DataFrame) -> DataFrame:
     return kept.select("rep", F.explode("first").alias("f"), "second").select("rep", F.explode("second").alias("s"), "f").select(F.xxhash64("f", "s").alias("key"), "rep")
 
 
+def _hidden(members: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """(a, b): pairs of members of one family, of different labels, that may be links; from (a, sa, b, label), b the family's leader.
+
+    A member is written as its difference from the leader's set, n shingles: it lacks d of them and adds e others.  Two
+    members whose differences have q elements in common share n - dx - dy + q of n + ex + ey - q shingles, so a link
+    needs q * (100 + percent) >= gx + gy + (100 - percent) * n, with g = percent * (n + e) - 100 * (n - d), which is
+    positive for members that the leader is not linked with; of two labels one is.  So a link has common elements,
+    and an exact prefix and position filter over differences finds it: with elements ordered from rare to
+    frequent in the family, the first common one is among the first size - least q + 1 of both, and what
+    follows it on either side has to suffice.  Shingles that the family shares are in no difference.
+    """
+    other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    e, d, n = F.array_except("sa", "sb"), F.array_except("sb", "sa"), F.size("sb")
+    rows = members.join(other, "b").select("a", "b", "label", n.alias("n"), F.size(e).alias("e"), F.size(d).alias("d"), F.concat(e, d).alias("difference"))
+    rows = work.write(rows.withColumn("g", percent * (F.col("n") + F.col("e")) - 100 * (F.col("n") - F.col("d"))), "differences")
+    bounds = rows.groupBy("b").agg(F.min("g").alias("least"), F.min(F.when(F.col("g") > 0, F.col("g"))).alias("least_unlinked")).where("least_unlinked is not null")
+    bounded = rows.join(bounds, "b")
+    partner = F.when(F.col("g") > 0, F.col("least")).otherwise(F.col("least_unlinked"))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("g") + partner + (100 - percent) * F.col("n")) / F.lit(100 + percent)))
+    long = bounded.withColumn("prefix", F.col("e") + F.col("d") - needed + 1).where("prefix > 0").select("a", "b", "label", "n", "e", "d", "g", "prefix", F.explode("difference").alias("s"))
+    spread = long.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    ranked = long.join(spread, ["b", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("b", "a").orderBy("df", "s")))
+    firsts = work.write(ranked.where("place <= prefix and lo <> hi").select("b", "s", "a", "label", "n", "e", "d", "g", (F.col("e") + F.col("d") - F.col("place")).alias("rest")), "prefixes")
+    own = ("a", "label", "n", "e", "d", "g", "rest")
+    left, right = (firsts.select("b", "s", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "xy")
+    size = lambda side: F.col(f"n_{side}") + F.col(f"e_{side}") - F.col(f"d_{side}")
+    fits = (size("x") * 100 >= size("y") * percent) & (size("y") * 100 >= size("x") * percent)
+    enough = (1 + F.least("rest_x", "rest_y")) * (100 + percent) >= F.col("g_x") + F.col("g_y") + (100 - percent) * F.col("n_x")
+    on = (F.col("label_x") < F.col("label_y")) & ((F.col("g_x") > 0) | (F.col("g_y") > 0)) & fits & enough
+    joined = left.alias("l").join(right.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.s") == F.col("r.s")) & on)
+    return joined.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; documents are linked if 100 * intersection >= percent * union.
 
@@ -108,10 +141,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        Documents of one digest have one set: the smallest id stands for all of them from here on.
     2. Representatives meet in the tensored tables.  Each is compared with the smallest of its table on full
        sets; the links found give first components.
-    3. Tables that then still hold several components may hide links that the smallest member has not shown.
-       All their members are compared by an exact prefix filter: with shingles ordered from rare to frequent,
-       two sets of that similarity share one of each other's first n - ceil(percent * n / 100) + 1 shingles.
-       Only pairs of different components and fitting sizes are then verified on full sets.
+    3. Leaders whose members are in several components may hide links that a comparison with the leader does not
+       show.  These members are compared among each other by an exact filter on their differences from the
+       leader (see _hidden), and the pairs that remain are verified on full sets.
 
     So no bucket is capped, no group emits all its pairs, and every pair that a table holds is decided.
     Null and empty texts have no shingles and are linked with nothing.  Rows that repeat an id are one document,
@@ -144,19 +176,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = work.write(verified(star_pairs), "links")
     labels = work.write(components(links, work, "first"), "labels")
 
-    labelled = tables.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = work.write(labelled.join(mixed, "key", "left_semi").select("rep", "label").distinct(), "members")
+    label_of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    families = star_pairs.select("a", "b").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+    families = families.select("a", "b", F.coalesce("a_label", "a").alias("label"), F.coalesce("b_label", "b").alias("own"))
+    mixed = families.groupBy("b").agg(F.least(F.min("label"), F.min("own")).alias("lo"), F.greatest(F.max("label"), F.max("own")).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 1")
+    members = work.write(families.join(mixed.select("b"), "b", "left_semi").select("a", "b", "label"), "members")
     if not members.isEmpty():
-        full = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(members, "rep")
-        spread = full.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s"))
-        prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-        firsts = work.write(full.join(spread, "s").withColumn("place", place).where((F.col("place") <= prefix) & (F.col("lo") != F.col("hi"))).select("s", "rep", "label", "n"), "prefixes")
-        left, right = firsts.select("s", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n")]), firsts.select("s", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n")])
-        fits = (F.col("label_a") < F.col("label_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-        cross = left.join(right, "s").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-        more = verified(cross.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
+        more = verified(_hidden(star_pairs.join(members, ["a", "b"]), sets, percent, work).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
         links = work.write(links.union(more), "all-links")
         labels = work.write(components(links, work, "second"), "all-labels")
     repeated = features.where("n_shingles > 0 and doc_id is not null").join(reps.select("class", "rep"), "class").select("doc_id", "rep")
