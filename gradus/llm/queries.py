@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .oracles import ORACLES  # noqa: F401 - read by __spark_entry__
 from .store import read_table
 
 
@@ -65,7 +66,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_report
 
-    return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    report = contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return report.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,61 +92,3 @@ QUERIES = {
         op6_decontamination, op7_preferences, op8_minhash_near_dups, op9_substring_dedup, op10_quality_rules,
     )
 }
-
-#: White space as the operators mean it, in DuckDB's regular expressions.
-_WS = "[\\x20\\x09-\\x0D]"
-
-ORACLES: dict[str, str] = {
-    "op3_line_spread": f"""
-WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents
-), spread AS (
-  SELECT regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g') AS line FROM lines
-  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]+{_WS}+[^\\x20\\x09-\\x0D]+{_WS}+[^\\x20\\x09-\\x0D]')
-  GROUP BY 1 HAVING count(DISTINCT source) >= 10
-), all_lines AS (
-  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS place, unnest(string_split(text, chr(10))) AS line FROM documents
-), marked AS (
-  SELECT doc_id, place, a.line, s.line IS NOT NULL AS gone
-  FROM all_lines a LEFT JOIN spread s ON regexp_replace(a.line, '^{_WS}+|{_WS}+$', '', 'g') = s.line
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-       md5(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_md5
-FROM marked GROUP BY doc_id""",
-    "op7_preferences": """
-WITH ranked AS (
-  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER w AS place, lag(text) OVER w AS before
-  FROM conversations WHERE conv_id IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
-), ended AS (
-  SELECT *, max(CASE WHEN role = 'assistant' AND before IS NOT NULL THEN place END) OVER (PARTITION BY conv_id) AS last FROM ranked
-), sides AS (
-  SELECT conv_id AS pair_id, place, role, true AS chosen, text FROM ended WHERE last IS NOT NULL
-  UNION ALL
-  SELECT conv_id, place, role, false, CASE WHEN place = last THEN before ELSE text END FROM ended WHERE place <= last
-), differing AS (
-  SELECT c.pair_id, min(c.place) AS first_diff
-  FROM (SELECT * FROM sides WHERE chosen) c LEFT JOIN (SELECT * FROM sides WHERE NOT chosen) r ON c.pair_id = r.pair_id AND c.place = r.place
-  WHERE r.place IS NULL OR c.text <> r.text OR c.role <> r.role GROUP BY 1
-), rendered AS (
-  SELECT s.*, coalesce(first_diff, 1000000000) AS cut, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
-         length(role) + 5 AS head
-  FROM sides s LEFT JOIN differing d USING (pair_id)
-), placed AS (
-  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, chosen ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
-  FROM rendered WHERE place >= cut
-), prompts AS (
-  SELECT pair_id, count(*) FILTER (place < cut) AS prefix_turns, coalesce(string_agg(piece, '' ORDER BY place) FILTER (place < cut), '') AS prompt
-  FROM rendered WHERE chosen GROUP BY 1
-), completed AS (
-  SELECT pair_id,
-    coalesce(string_agg(piece, '' ORDER BY place) FILTER (chosen), '') AS chosen,
-    coalesce(string_agg(piece, '' ORDER BY place) FILTER (NOT chosen), '') AS rejected,
-    coalesce(string_agg((begun + head)::BIGINT || '-' || (begun + length(piece))::BIGINT, ',' ORDER BY place) FILTER (chosen AND role = 'assistant'), '') AS chosen_mask,
-    coalesce(string_agg((begun + head)::BIGINT || '-' || (begun + length(piece))::BIGINT, ',' ORDER BY place) FILTER (NOT chosen AND role = 'assistant'), '') AS rejected_mask
-  FROM placed GROUP BY 1
-)
-SELECT p.pair_id, prefix_turns, prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
-       coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected_mask, '') AS rejected_mask
-FROM prompts p LEFT JOIN completed USING (pair_id)""",
-}
