@@ -277,3 +277,81 @@ def question_items(spark, sf_dir):
 
     q = fx.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("item_id"), F.col("text").alias("question"), F.lit("B").alias("answer_idx"), F.create_map(F.lit("A"), F.lit("x")).alias("options"))
     return from_questions(q).drop("options")
+
+
+def _log_lines(spark, sf_dir):
+    """Calls as lines of two logs; some are blank, some malformed."""
+    calls = fx.calls(spark, sf_dir)
+    line = F.to_json(F.struct("ts", "stage", "model", "input_tokens", "output_tokens", "item_id", "level"))
+    value = F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).when(F.col("event_id") % 21 == 0, "  ").otherwise(line)
+    name = F.when(F.col("event_id") % 2 == 0, "api_calls_ana.jsonl").otherwise("api_calls_bo_api_calls_2.jsonl")
+    return calls.select(value.alias("value"), name.alias("file_name"))
+
+
+@query(f"""WITH {fx.SQL_CALLS} SELECT CASE WHEN event_id % 2 = 0 THEN 'ana' ELSE 'bo_2' END AS person, ts, stage, model, input_tokens, output_tokens, item_id, level
+FROM calls WHERE event_id % 20 <> 0 AND event_id % 21 <> 0""")
+def scan_log_lines(spark, sf_dir):
+    from ..schemas import CALLS
+    from ..sources.logs import parsed_lines, person_of
+
+    rows = parsed_lines(_log_lines(spark, sf_dir), CALLS).where("malformed is null")
+    return rows.select(person_of(F.col("file_name")).alias("person"), "ts", "stage", "model", "input_tokens", "output_tokens", "item_id", "level")
+
+
+@query(f"WITH {fx.SQL_CALLS} SELECT CASE WHEN event_id % 2 = 0 THEN 'api_calls_ana.jsonl' ELSE 'api_calls_bo_api_calls_2.jsonl' END AS file_name, '{{broken ' || event_id AS malformed FROM calls WHERE event_id % 20 = 0")
+def malformed_log_lines(spark, sf_dir):
+    from ..schemas import CALLS
+    from ..sources.logs import malformed_lines, parsed_lines
+
+    return malformed_lines(parsed_lines(_log_lines(spark, sf_dir), CALLS))
+
+
+@query(f"WITH {fx.SQL_CALLS} SELECT DISTINCT item_id, model, level FROM calls WHERE event_id % 20 <> 0 AND event_id % 21 <> 0")
+def scan_log_keys(spark, sf_dir):
+    from ..schemas import CALLS
+    from ..sources.logs import parsed_lines
+
+    return parsed_lines(_log_lines(spark, sf_dir), CALLS).where("malformed is null").select("item_id", "model", "level").distinct()
+
+
+@query(f"""WITH {fx.SQL_RESULTS} SELECT item_id, model, level, prompt_condition, predicted, gold, correct, substr(sha256('a' || chr(10) || 'b'), 1, 12) AS prompt_hash, 3::INT AS config_version FROM results""")
+def result_rows(spark, sf_dir):
+    digest = spark.range(1).select(rendering.prompt_hash(F.lit("a\r\nb"))).first()[0]
+    staged = fx.outputs(spark, sf_dir).withColumn("status", F.lit("run"))
+    return evaluation.results_of(staged, digest, 3).drop("raw_output")
+
+
+#: A configuration that breaks most rules.
+_CONFIG = {
+    "run": {"pilot_mode": True}, "dataset": {"n_items": None},
+    "models": {
+        "rewriter": {"name": "rw", "version": None, "temperature": 1}, "verifier": {"name": "rw", "version": None},
+        "evaluated": [
+            {"id": "open", "provider": "local", "name": None}, {"id": "one", "provider": "local", "name": "rw", "version": "1", "temperature": 0}, {"id": "two", "provider": "local", "name": "m2", "temperature": 0.5},
+        ],
+    },
+    "generation": {"rewriter_prompt": "no/such/file"}, "prompt_conditions": [], "gates": {"realism": {"max_rater_accuracy": 0.9}, "fidelity": {"min_filter_human_kappa": 0.5}},
+    "cost_rates_usd_per_1m": {"rw": {"input": 1.0}},
+}
+
+
+@query("""SELECT * FROM (VALUES ('V1', 'BLOCK', 'rewriter'), ('V2', 'BLOCK', 'rewriter'), ('V3', 'WARN', 'verifier'), ('V4', 'BLOCK', 'verifier'), ('V5', 'BLOCK', 'rw'), ('V6', 'WARN', 'rw'), ('V7', 'BLOCK', 'open'),
+('V8', 'WARN', 'two'), ('V9', 'BLOCK', 'two'), ('V10', 'WARN', 'dataset'), ('V12', 'WARN', 'm2'), ('V13', 'WARN', 'rw'), ('V14', 'BLOCK', 'no/such/file'), ('V16', 'WARN', 'realism'), ('V17', 'WARN', 'fidelity')) t(rule, severity, subject)""")
+def rule_findings(spark, sf_dir):
+    from ..operators.rules import findings_table
+
+    return findings_table(spark, _CONFIG).drop("message")
+
+
+@query("""SELECT * FROM (VALUES ('two', 'ready'), ('one', 'ready'), ('open', 'its name is not chosen yet'), ('typo', 'it is not in the configuration')) t(model_id, state)""")
+def model_selection(spark, sf_dir):
+    chosen, left = evaluation.select_models(_CONFIG, ["two", "typo", "one", "open"])
+    return spark.createDataFrame([(m["id"], "ready") for m in chosen] + left, "model_id string, state string")
+
+
+@query("""SELECT DISTINCT level, missing FROM (SELECT level, CASE level WHEN 'a' THEN '' WHEN 'b' THEN '{options}' ELSE '{options},{stem}' END AS missing FROM (VALUES ('a'), ('b'), ('c')) l(level))""")
+def missing_placeholders(spark, sf_dir):
+    templates = spark.createDataFrame([("a", "{stem} {options}"), ("b", "{stem} {option}"), ("c", "none")], "level string, template string")
+    present = F.regexp_extract_all("template", F.lit(r"\{[a-z]+\}"), F.lit(0))
+    needed = F.array(F.lit("{options}"), F.lit("{stem}"))
+    return templates.select("level", F.array_join(F.array_except(needed, present), ",").alias("missing"))

@@ -34,7 +34,7 @@ def scan_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema).withColumns({"file_name": F.lit(None).cast("string"), "malformed": F.lit(None).cast("string")})
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_name").alias("file_name"))
-    return _parsed(lines, schema).select(*schema.fieldNames(), "file_name", "malformed")
+    return parsed_lines(lines, schema).select(*schema.fieldNames(), "file_name", "malformed")
 
 
 def numbered_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -48,10 +48,11 @@ def numbered_log(spark: SparkSession, path: str, schema: StructType) -> DataFram
         return spark.createDataFrame([], schema).withColumns(empty)
     whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
     lines = whole.select("file_name", F.posexplode(F.split("value", "\n")).alias("at", "value")).select("file_name", (F.col("at") + 1).cast("long").alias("line_no"), "value")
-    return _parsed(lines, schema).select(*schema.fieldNames(), "file_name", "line_no", "malformed")
+    return parsed_lines(lines, schema).select(*schema.fieldNames(), "file_name", "line_no", "malformed")
 
 
-def _parsed(lines: DataFrame, schema: StructType) -> DataFrame:
+def parsed_lines(lines: DataFrame, schema: StructType) -> DataFrame:
+    """Rows (value, ...) parsed as JSON objects: blank ones left out, the text of others in ``malformed``."""
     full = StructType(list(schema.fields)).add("_corrupt", "string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
     text = strip(F.col("value"))
