@@ -1,9 +1,9 @@
 """MinHash near-duplicates with tensored banding.
 
-Two collections of ``KEYS`` partial keys, each over ``ROWS`` minhashes, stand for KEYS**2 tables: table (i, j) is keyed by
-the pair (first collection's key i, second's key j).  2 * KEYS * ROWS minhashes thus do the work of
-KEYS**2 * 2 * ROWS.  With 16 keys of 5 minhashes, documents of similarity 0.85 share a table with probability
-(1 - (1 - 0.85**5)**16)**2 = 0.9998.  Pair keys are only formed from partial keys that several documents
+Two collections of ``KEYS`` partial keys, each over a few minhashes (rows), stand for KEYS**2 tables: table (i, j) is keyed by
+the pair (first collection's key i, second's key j).  2 * KEYS * rows minhashes thus do the work of
+KEYS**2 * 2 * rows.  With 16 keys of 5 minhashes, documents of similarity 0.85 share a table with probability
+(1 - (1 - 0.85**5)**16)**2 = 0.9998; the rows follow from the similarity so that this is 0.999 at least.  Pair keys are only formed from partial keys that several documents
 share, so documents without near-copies, nearly all of them, emit no pair at all.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .components import components
 from .store import Workspace, small_batches
 
-KEYS, ROWS, SHINGLE, SEED = 16, 5, 5, 20240229
+KEYS, SHINGLE, SEED, RECALL = 16, 5, 20240229, 0.999
 FEATURES = "doc_id long, n_shingles long, class binary, first array<long>, second array<long>"
 
 
@@ -38,7 +38,15 @@ def shingle_set(text: str | None, size: int = SHINGLE):
     return np.unique(total)
 
 
-def partial_keys(shingles, keys: int = KEYS, rows: int = ROWS, seed: int = SEED):
+def rows_for(percent: int, keys: int = KEYS, recall: float = RECALL) -> int:
+    """The most minhashes in a partial key with which documents of that similarity share a table with probability ``recall``."""
+    rows = 1
+    while (1 - (1 - (percent / 100) ** (rows + 1)) ** keys) ** 2 >= recall:
+        rows += 1
+    return rows
+
+
+def partial_keys(shingles, rows: int, keys: int = KEYS, seed: int = SEED):
     """Two arrays of ``keys`` partial keys (int64): the minima of 2 * keys * rows multiply-add hashes, ``rows`` mixed in each."""
     import numpy as np
 
@@ -58,7 +66,7 @@ def partial_keys(shingles, keys: int = KEYS, rows: int = ROWS, seed: int = SEED)
     return mixed[:keys], mixed[keys:]
 
 
-def _features(docs: DataFrame) -> DataFrame:
+def _features(docs: DataFrame, rows: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
@@ -67,7 +75,7 @@ def _features(docs: DataFrame) -> DataFrame:
             out = []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
-                keys = partial_keys(s) if len(s) else ((), ())
+                keys = partial_keys(s, rows) if len(s) else ((), ())
                 out.append((len(s), xxh3_128_digest(s.tobytes()), *keys))
             n, cls, first, second = zip(*out) if out else ((),) * 4
             lists = pa.list_(pa.int64())
@@ -153,7 +161,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     work = Workspace(spark, "near")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = work.write(_features(source), "features")
+    features = work.write(_features(source, rows_for(percent)), "features")
     classes = features.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
     reps = work.write(classes, "reps")
     tables = work.write(_tables(reps), "tables")
