@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
 from ..functions.answers import is_correct, parse_answer
@@ -95,8 +95,6 @@ def unfinished(work: DataFrame, done: DataFrame, key: tuple[str, ...] = schemas.
 
 def first_of_key(work: DataFrame, key: tuple[str, ...] = schemas.RESULT_KEY) -> DataFrame:
     """``work`` with ``repeated``: true for rows after the first of their key by position."""
-    from pyspark.sql import Window
-
     return work.withColumn("repeated", F.row_number().over(Window.partitionBy(*key).orderBy("position")) > 1)
 
 
@@ -130,7 +128,7 @@ def calls_of(staged: DataFrame, stage: str, rates: DataFrame, config_version: in
     return price(check_stages(named), rates).select(*schemas.CALLS.fieldNames())
 
 
-def failures_of(results: DataFrame, staged_ts: DataFrame | None = None) -> DataFrame:
+def failures_of(results: DataFrame) -> DataFrame:
     """The parse failures among results."""
     ts = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     return results.where("predicted is null").select(ts.alias("ts"), "item_id", "model", F.coalesce("level", F.lit("")).alias("level"), "prompt_condition", "raw_output")

@@ -57,7 +57,7 @@ def parsed_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
     text = strip(F.col("value"))
     kept = lines.where(F.length(text) > 0).withColumn("row", F.from_json(text, full, options))
-    object_like = text.startswith("{")
+    object_like = text.startswith("{") & text.endswith("}")
     bad = F.col("row").isNull() | F.col("row._corrupt").isNotNull() | ~object_like
     fields = {f.name: F.when(~bad, F.col(f"row.{f.name}")) for f in schema.fields}
     return kept.withColumns({**fields, "malformed": F.when(bad, F.col("value"))})
