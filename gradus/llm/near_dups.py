@@ -193,6 +193,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         more = verified(_hidden(star_pairs.join(members, ["a", "b"]), sets, percent, work).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
         links = work.write(links.union(more), "all-links")
         labels = work.write(components(links, work, "second"), "all-labels")
+    for name in ("tables", "partners", "sets", "links", "members", "differences", "prefixes"):
+        work.drop(name)  # the result reads features, classes and labels only
     repeated = features.where("n_shingles > 0 and doc_id is not null").join(reps.select("class", "rep"), "class").select("doc_id", "rep")
     placed = repeated.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component"))
     out = features.join(placed, "doc_id", "left")
