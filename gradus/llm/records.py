@@ -109,7 +109,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, out_dir: str, *, id_col:
                 ["first_id", "path", "records", "tokens", "bytes", "part"],
             )
 
-    return source.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, SHARDS)
+    order = ["doc_id", F.xxhash64("text")]  # the second key divides rows that share an id, null ones among them
+    return source.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, SHARDS)
 
 
 def read_records(shards: DataFrame) -> DataFrame:
