@@ -1,4 +1,4 @@
-"""Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents."""
+"""Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents' pieces."""
 
 from __future__ import annotations
 
@@ -48,42 +48,46 @@ def _pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int | Non
     def cut(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         from .tokens import UnitEncoder, by_bytes, worker
 
         encoder = worker(UnitEncoder, tokenizer_path)
         end = [] if end_id is None else [end_id]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"]
+        row = TaskContext.get().partitionId() << 40
         for batch in by_bytes(batches, "text"):
             rows = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 ids = np.append(np.frombuffer(raw, encoder.dtype).astype("<u4"), np.array(end, "<u4"))
                 for at in range(0, len(ids), length):
                     piece = ids[at : at + length]
-                    rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+                    row += doc is None
+                    rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids), row if doc is None else 0))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names)
 
-    return docs.mapInArrow(cut, PIECES)
+    return docs.mapInArrow(cut, PIECES + ", spread long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int | None = 1, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document of more than ``length`` ids is cut every ``length`` ids: whole pieces fill sequences of
-    their own, and its rest is packed like a short document.  Documents go to groups by a seeded hash of
-    their id (groups of about ``group_docs``, as many as the table needs), and each group runs first-fit
-    decreasing by itself, so a task holds a bounded number of piece descriptions and never ids or texts.
+    their own, and its rest is packed like a short document.  Pieces go to groups by a seeded hash of
+    id, start and content (groups of about ``group_docs`` documents, as many as the table needs), and each group
+    runs first-fit decreasing by itself, so a task holds a bounded number of piece descriptions and never ids or texts.
     Sequence ids are unique over all groups; offsets in a sequence run from 0 without gaps.
 
     Null texts are empty: the end id alone is packed (nothing, if ``end_id`` is None).  Null ids and
-    repeated rows are packed like any other row; copies are spread by their id alone, so rows repeating
-    one id share a group.  An empty table gives no rows; other columns are not read.
+    repeated rows are packed like any other row; rows of a null id are spread by their position, and only
+    equal rows of one id share a group.  An empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     groups = max(1, -(-source.count() // group_docs))
-    pieces = _pieces(source, tokenizer_path, length, end_id).withColumn("group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(groups)))
+    pieces = _pieces(source, tokenizer_path, length, end_id)
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "spread", F.lit(seed)), F.lit(groups)))
 
     def fill(key, rows):
         rows = rows.sort_values(["length", "ids_crc32", "doc_id", "start"], ascending=[False, True, True, True], kind="stable", na_position="first")
@@ -94,6 +98,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         for b, n in zip(bins, sizes):
             offsets.append(used.get(b, 0))
             used[b] = offsets[-1] + n
-        return rows.drop(columns="group").assign(sequence_id=[(int(key[0]) << 32) + b for b in bins], offset=offsets)
+        return rows.drop(columns=["group", "spread"]).assign(sequence_id=[(int(key[0]) << 32) + b for b in bins], offset=offsets)
 
     return pieces.groupBy("group").applyInPandas(fill, PIECES + ", sequence_id long, offset long")
