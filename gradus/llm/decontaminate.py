@@ -17,8 +17,8 @@ WINDOW, SUBSTITUTIONS, SHORTEST = 13, 2, 5
 #: (start, length) of the four blocks.
 BLOCKS = ((0, 4), (4, 3), (7, 3), (10, 3))
 MASKS = tuple(combinations(range(4), 2))
-#: Benchmark words that are broadcast at once; larger benchmarks are run in blocks of whole items.
-BLOCK_WORDS = 500_000
+#: Benchmark words that are broadcast at once (about 20 MB with their seeds); larger benchmarks are run in blocks of whole items.
+BLOCK_WORDS = 100_000
 BITS = 22
 
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))

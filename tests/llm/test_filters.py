@@ -101,7 +101,7 @@ def test_decontamination_equals_brute_force(spark):
                 want.add((i, k))
     d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
-    for block in (500_000, 60):
+    for block in (100_000, 60):
         old, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, block
         try:
             got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(d, b, Workspace(spark, "t")).collect()}
@@ -150,7 +150,7 @@ def test_preferences(spark):
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     return c
 
