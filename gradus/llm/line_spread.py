@@ -23,17 +23,16 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc_id", "site", F.explode(F.array_distinct(hashes)).alias("line"))
 
 
-def spread_lines(lines: DataFrame, sites: int) -> DataFrame:
-    """(line) of the lines that at least ``sites`` distinct sites have, from rows (site, line).
+def estimate_spread(lines: DataFrame, sites: int) -> DataFrame:
+    """(line, sure) of the lines that may have ``sites`` distinct sites or more, from rows (site, line).
 
     A sketch per line merges by aggregation, map side first, so a line in a third of all documents is a sketch per
-    task.  Lines whose estimate is within a tenth of the threshold (one at least) are counted exactly:
-    their (line, site) pairs are made distinct before they are counted.
+    task.  Lines whose estimate is over the threshold by more than a tenth (one at least) are sure; others within that
+    of it have to be counted.
     """
     band = max(1.0, 0.1 * sites)
     sketched = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("estimate"))
-    guessed = sketched.where(F.col("estimate") >= sites - band).select("line", (F.col("estimate") > sites + band).alias("sure"))
-    return guessed
+    return sketched.where(F.col("estimate") >= sites - band).select("line", (F.col("estimate") > sites + band).alias("sure"))
 
 
 def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = 10, min_words: int = 3) -> DataFrame:
@@ -50,7 +49,7 @@ def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     work = Workspace(spark, "lines")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
     lines = work.write(_lines(source, min_words), "lines")
-    guessed = work.write(spread_lines(lines, sites), "guessed")
+    guessed = work.write(estimate_spread(lines, sites), "guessed")
     near = lines.join(guessed.where("not sure").select("line"), "line").select("line", "site").distinct()
     counted = near.groupBy("line").agg(F.count("site").alias("n")).where(F.col("n") >= sites).select("line")
     spread = guessed.where("sure").select("line").union(counted)

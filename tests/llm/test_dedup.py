@@ -91,6 +91,31 @@ def test_prefix_filter_finds_links_the_smallest_member_hides(spark):
     assert linked and set(got.values()) == {0}
 
 
+def test_hidden_links_are_all_found(spark):
+    rng = random.Random(12)
+    members, sets, want = [], {}, set()
+    for family in range(8):
+        leader = 1000 * family
+        sets[leader] = set(rng.sample(range(10**9), 60))
+        pool, ids = rng.sample(range(10**9), 40), []
+        for k in range(1, 25):
+            out = set(sets[leader]) if k % 3 else set(sets[rng.choice(ids or [leader])])
+            for _ in range(rng.randint(0, 14)):
+                out.discard(rng.choice(sorted(out)))
+                out.add(rng.choice(pool) if rng.random() < 0.6 else rng.randint(0, 10**9))
+            sets[leader + k] = out
+            ids.append(leader + k)
+        for percent in (85,):
+            like = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+            label = {i: leader if like(i, leader) else i for i in ids}
+            members += [(i, sorted(sets[i]), leader, label[i]) for i in ids]
+            want |= {(a, b) for a in ids for b in ids if label[a] < label[b] and like(a, b)}
+    m = spark.createDataFrame(members, "a long, sa array<long>, b long, label long")
+    full = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "doc_id long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in near_dups._hidden(m, full, 85, Workspace(spark, "test")).collect()}
+    assert len(want) > 20 and want <= got and len(got) < len(members) * 24
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(30)] + [(5, 5)]
