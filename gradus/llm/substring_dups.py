@@ -143,12 +143,13 @@ def _candidates(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for doc, text, fps in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("fps")):
+            found = [np.zeros(0, np.int64)]
+            for text, fps in zip(batch.column("text"), batch.column("fps")):
                 words = _word_hashes((text.as_py() or "").encode().split())
-                hit = np.isin(fingerprints(words), fps.values.to_numpy())
-                windows = np.unique(_runs_of(words, WINDOW)[hit]).view(np.int64)
-                if len(windows):
-                    yield pa.RecordBatch.from_arrays([pa.array(windows), pa.array(np.full(len(windows), doc, np.int64))], ["window", "doc_id"])
+                at = np.flatnonzero(np.isin(fingerprints(words), fps.values.to_numpy()))
+                found.append(np.unique(_runs_of(words, WINDOW)[at]).view(np.int64))
+            docs = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(docs.astype(np.int64))], ["window", "doc_id"])
 
     return docs.mapInArrow(run, "window long, doc_id long")
 
