@@ -10,12 +10,40 @@ from __future__ import annotations
 import os
 import re
 
-#: Distinct units kept per worker before the cache starts afresh (about 150 MB).
-MAX_UNITS = 1_000_000
+#: Distinct units kept per worker (about 200 MB).
+MAX_UNITS = 1_200_000
 #: Longer units are encoded each time: a few of them could fill the cache's memory.
 LONG_UNIT = 200
 
 
+class UnitCache:
+    """What units gave, in two generations: when the young one has half of ``most`` units, it becomes the old one, so units in
+    use stay and those seen once go."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = max(1, most // 2), {}, {}
+
+    def look_up(self, units: list[str], make) -> list:
+        """The value of each distinct unit; make(list of new units) gives those of the new ones."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = list(map(young.get, units))
+        absent = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in absent:
+            x = old.get(units[i])
+            if x is None:
+                new.append(i)
+            else:
+                found[i] = young[units[i]] = x
+        for i, x in zip(new, make([units[i] for i in new])):
+            found[i] = x
+            if len(units[i]) <= LONG_UNIT:
+                young[units[i]] = x
+        return found
+
+
 class UnitEncoder:
     """Ids of a byte-level BPE of the tokenizers library, as little-endian bytes of ``width`` each.
 
@@ -34,11 +62,10 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.max_units = max_units
         self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = repr(self.tokenizer.pre_tokenizer)
         self._units = self.tokenizer.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
-        self._cache: dict[str, bytes] = {}
+        self._cache = UnitCache(max_units)
         vocabulary = self.tokenizer.get_vocab()
         self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self._spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
@@ -54,8 +81,9 @@ class UnitEncoder:
         import numpy as np
 
         out: list[bytes] = [b""] * len(units)
-        joined = [i for i, u in enumerate(units) if u and not u[0].isspace() and not u[-1].isspace()]
-        alone = [i for i, u in enumerate(units) if not (u and not u[0].isspace() and not u[-1].isspace())]
+        whole = [bool(u) and u.strip() == u for u in units]
+        joined = [i for i, ok in enumerate(whole) if ok]
+        alone = [i for i, ok in enumerate(whole) if not ok]
         groups = [joined[at : at + run] for at in range(0, len(joined), run)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(" " + units[i] for i in g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
@@ -88,21 +116,12 @@ class UnitEncoder:
         if not cut:
             return out
         starts, index, units = _split([texts[i] for i in cut])
-        cache = self._cache
-        found = list(map(cache.get, units))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(missing, self._unit_bytes([units[i] for i in missing])):
-            found[i] = x
-            if len(units[i]) <= LONG_UNIT:
-                cache[units[i]] = x
-        taken = pa.array(found, pa.binary()).take(index)
+        taken = pa.array(self._cache.look_up(units, self._unit_bytes), pa.binary()).take(index)
         at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4).tolist()
         data = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
         heads = self._bytes([texts[i].split(" ", 1)[0] for i in cut])  # a text's first unit has no space before it
         for i, head, a, b in zip(cut, heads, starts[:-1], starts[1:]):
             out[i] = head + data[at[a + 1] : at[b]]
-        if len(cache) > self.max_units:
-            cache.clear()
         return out
 
 
@@ -127,8 +146,7 @@ class UnitCounter:
     _SAFE = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 
     def __init__(self, path: str, max_units: int = MAX_UNITS):
-        self.max_units = max_units
-        self._cache: dict[str, int] = {}
+        self._cache = UnitCache(max_units)
         self._encoder = None
         if path.endswith(".json"):
             self._encoder = UnitEncoder(path, max_units)
@@ -164,18 +182,10 @@ class UnitCounter:
         if not cut:
             return out
         starts, index, units = _split([texts[i] for i in cut])
-        cache = self._cache
-        found = list(map(cache.get, units))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(missing, self._lengths([units[i] for i in missing])):
-            found[i] = x
-            if len(units[i]) <= LONG_UNIT:
-                cache[units[i]] = x
+        found = self._cache.look_up(units, self._lengths)
         ends = np.concatenate([[0], np.cumsum(np.array(found, np.int64)[index.to_numpy()])])
         for i, a, b in zip(cut, starts[:-1], starts[1:]):
             out[i] = int(ends[b] - ends[a])
-        if len(cache) > self.max_units:
-            cache.clear()
         return out
 
 
