@@ -18,16 +18,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the documents linked at similarity 0.8 or more, directly or by others, with one of a smaller id."""
+    return near_dups.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share go from every document; all documents stay."""
-    cleaned = line_spread.remove_spread_lines(docs)
+    """Lines that many sites share go from every document; all documents stay.
+
+    Near copies are one document here: else a text copied to many sites would lose its lines in all copies, the
+    first one too, before the next stage can keep that.
+    """
+    cleaned = line_spread.remove_spread_lines(docs, copies=_copies(docs))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at similarity 0.8 or more one stays, that of the smallest id."""
-    report = near_dups.near_duplicates(docs, percent=80)
-    gone = report.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = _copies(docs).withColumnRenamed("doc_id", "__gone")
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

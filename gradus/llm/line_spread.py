@@ -23,6 +23,15 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc_id", "site", F.explode(F.array_distinct(hashes)).alias("line"))
 
 
+def _without_copies(source: DataFrame, lines: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
+    """(line, site) of documents that are no copies; sites are hashes, so that their minimum is aggregated in place."""
+    number = lambda df: df.withColumn("site", F.when(F.col("site").isNotNull(), F.xxhash64("site")))
+    gone = copies.select(F.col("doc_id").alias("__gone"))
+    known = number(lines.where("doc_id is not null")).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").groupBy("doc_id", "line").agg(F.min("site").alias("site"))
+    texts = number(source.where("doc_id is null")).groupBy("text").agg(F.first("doc_id").alias("doc_id"), F.min("site").alias("site"))
+    return known.select("line", "site").union(_lines(texts, min_words).select("line", "site"))
+
+
 def estimate_spread(lines: DataFrame, sites: int) -> DataFrame:
     """(line, sure) of the lines that may have ``sites`` distinct sites or more, from rows (site, line).
 
@@ -35,7 +44,7 @@ def estimate_spread(lines: DataFrame, sites: int) -> DataFrame:
     return sketched.where(F.col("estimate") >= sites - band).select("line", (F.col("estimate") > sites + band).alias("sure"))
 
 
-def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = 10, min_words: int = 3) -> DataFrame:
+def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = 10, min_words: int = 3, copies: DataFrame | None = None) -> DataFrame:
     """``docs`` without its boilerplate lines; all columns stay, and __n_lines and __n_removed are added.
 
     A line is what stands between ``\\n``; lines are equal if they are so without the ASCII white space at their ends.  A line
@@ -43,14 +52,19 @@ def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     it stands; other lines stay as they are, empty ones too.  Null texts stay null, with no lines; null
     sites count for no site; rows of a null id keep their lines; rows that repeat an id are treated alike;
     an empty table stays empty.
+
+    By default every row counts, so a text whose copies stand on that many sites loses its lines everywhere.  With ``copies``
+    (doc_id), the documents that another one stands for, a document and its copies count for the one site of that other one:
+    lines go only if unlike documents share them.  Rows of an id then count once, those of a null id once for each distinct text.
     """
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark, "lines")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
     lines = work.write(_lines(source, min_words), "lines")
-    guessed = work.write(estimate_spread(lines, sites), "guessed")
-    near = lines.join(guessed.where("not sure").select("line"), "line").select("line", "site").distinct()
+    evidence = lines if copies is None else work.write(_without_copies(source, lines, copies, min_words), "evidence")
+    guessed = work.write(estimate_spread(evidence, sites), "guessed")
+    near = evidence.join(guessed.where("not sure").select("line"), "line").select("line", "site").distinct()
     counted = near.groupBy("line").agg(F.count("site").alias("n")).where(F.col("n") >= sites).select("line")
     spread = guessed.where("sure").select("line").union(counted)
     bad = lines.where("doc_id is not null").join(spread, "line").groupBy("doc_id").agg(F.collect_set("line").alias("__bad"))

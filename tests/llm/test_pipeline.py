@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -64,6 +65,28 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     assert got == {i: len(np.frombuffer(encoder.encode([want[i]])[0], encoder.dtype)) + 1 for i in clean}
 
 
+def test_copies_on_many_sites_survive_line_dedup_once(spark, tmp_path, sf_dir):
+    rng = random.Random(3)
+    say = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+    show = lambda ls: "\n".join(map(" ".join, ls))
+    exact, near, rows = [say(40), say(40), say(40)], [say(40) for _ in range(6)], []
+    for k in range(14):
+        changed = [list(x) for x in near]
+        changed[k % 6][k] = f"changed{k}"
+        rows += [(k, show(exact), f"s{k}"), (100 + k, show(changed if k else near), f"s{k}"), (200 + k, show([say(60), "shared by unlike pages".split(), say(60)]), f"s{k}")]
+        rows += [(None, show(exact), f"s{k}"), (300, show([*near[:5], say(9)]), f"s{k}")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "line_dedup":
+            assert docs.where("text like '%shared by%'").count() == 0 and docs.where("text = ''").count() == 0
+    left = defaultdict(set)
+    for r in docs.collect():
+        left[r["doc_id"]].add(r["text"])
+    assert left[0] == {show(exact)} and left[100] == {show(near)} and set(left) == {None, 0, 100, *range(200, 214)}
+
+
 def test_empty_corpus(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
