@@ -18,9 +18,12 @@ SKETCH_BITS = 6
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 #: The metrics that get adaptive limits; all are higher for worse texts.
 METRICS = ("symbol_mille", "dup_line_mille", "repeat_mille", "word_len_cents")
-#: (floor of the limit, spread factor) by metric: a text is rejected above max(floor, q50 + factor * (q75 - q50)) of its
-#: language and source.  The floor keeps groups without spread, and small ones, from rejecting on noise.
+#: (floor of the limit, spread factor) by metric: a text is rejected above max(floor, q50 + factor * min(q75 - q50, q50 - q25)) of
+#: its language and source.  The floor keeps groups without spread, and small ones, from rejecting on noise; the spread below
+#: the median keeps bad rows, which are high, from loosening the limit while they are under half of the group.
 LIMITS = {"symbol_mille": (30, 8), "dup_line_mille": (400, 8), "repeat_mille": (400, 8), "word_len_cents": (1000, 8)}
+#: The most a rate can be.  Its limit stays below the middle of that and the median, or its floor, so the rule can always reject.
+MOST = {"symbol_mille": 1000, "dup_line_mille": 1000, "repeat_mille": 1000}
 
 #: Rows that a group needs for limits of its own.
 GROUP_ROWS = 100
@@ -102,11 +105,13 @@ def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFr
 def _limits_of(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, one limit column for each metric), from sketches of finer keys, which are merged."""
     merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    points = quantiles(merged, keys, {"q50": 0.5, "q75": 0.75})
-    floor, factor = F.lit(None), F.lit(None)
+    points = quantiles(merged, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    floor, factor, most = F.lit(None), F.lit(None), F.lit(None)
     for m, (low, spread) in LIMITS.items():
         floor, factor = F.when(F.col("metric") == m, low).otherwise(floor), F.when(F.col("metric") == m, spread).otherwise(factor)
-    limit = F.greatest(floor, F.col("q50") + factor * (F.col("q75") - F.col("q50"))).cast("long")
+        most = F.when(F.col("metric") == m, MOST.get(m)).otherwise(most)
+    adaptive = F.col("q50") + factor * F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"))
+    limit = F.greatest(floor, F.least(adaptive, F.floor((F.col("q50") + most) / 2))).cast("long")
     per_metric = [F.max(F.when(F.col("metric") == m, limit)).alias(m) for m in METRICS]
     return points.groupBy(*keys).agg(F.max("n").alias("n"), *per_metric)
 

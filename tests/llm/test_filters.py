@@ -52,6 +52,18 @@ def test_quality_measures_and_verdicts(spark):
     assert quality_rules.quality_report(docs.limit(0)).count() == 0 and quality_rules.filter_documents(docs.limit(0)).count() == 0
 
 
+def test_bad_rows_under_half_of_a_group_do_not_loosen_its_limits(spark):
+    rng = random.Random(4)
+    say = lambda n, end="": " ".join(f"v{rng.randint(0, 10**6)}{end}" for _ in range(n))
+    rows = [(i, say(80), "en", "s") for i in range(140)] + [(1000 + i, say(80, "&&"), "en", "s") for i in range(60)]
+    rows += [(i, say(80), "de", "s") for i in range(200, 340)] + [(2000 + i, "\n".join(f"ok\n{say(8)}" for _ in range(12)), "de", "s") for i in range(60)]
+    report = quality_rules.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in report) and {r["doc_id"] for r in report if r["kept"]} == set(range(140)) | set(range(200, 340))
+    spread = spark.createDataFrame([("g", m, b, 50) for m in quality_rules.METRICS for b in (100, 304, 504, 904)], "g string, metric string, bucket long, n long")
+    limit = quality_rules._limits_of(spread, ["g"]).first()
+    assert all(quality_rules.LIMITS[m][0] <= limit[m] < 1000 for m in ("symbol_mille", "dup_line_mille", "repeat_mille"))
+
+
 def test_sketch_is_exact_to_a_64th_and_merges(spark):
     values = [random.Random(1).randint(0, 10**9) >> random.Random(i).randint(0, 30) for i in range(2000)] + [0, 127, 128, 129, 2**40]
     df = spark.createDataFrame([("k", v) for v in values], "g string, m long")
