@@ -112,19 +112,25 @@ WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extra
     coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN l USING (doc_id) LEFT JOIN marked USING (doc_id)
 ), m AS (SELECT *, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) AS symbol_mille, coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS dup_line_mille,
     coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeat_mille, coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS word_len_cents FROM base
-), long AS (SELECT lang, source, unnest(['symbol_mille', 'dup_line_mille', 'repeat_mille', 'word_len_cents']) AS metric, unnest([symbol_mille, dup_line_mille, repeat_mille, word_len_cents]) AS value FROM m
+), long AS (SELECT lang, source, unnest(['symbol_mille', 'dup_line_mille', 'repeat_mille', 'word_len_cents', 'word_chars', 'n_lines', 'n_words']) AS metric,
+    unnest([symbol_mille, dup_line_mille, repeat_mille, word_len_cents, word_chars, n_lines, n_words]) AS value FROM m
 ), levels AS (SELECT 2 AS level, lang, source, metric, value FROM long UNION ALL SELECT 1, lang, NULL, metric, value FROM long UNION ALL SELECT 0, NULL, NULL, metric, value FROM long
 ), sketch AS (SELECT level, lang, source, metric, CASE WHEN value < 128 THEN value ELSE (value >> (length(bin(value)) - 7)) << (length(bin(value)) - 7) END AS bucket, count(*) AS n FROM levels GROUP BY ALL
 ), ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM sketch
-), points AS (SELECT level, lang, source, metric, max(total) AS total, min(bucket) FILTER (below >= total * 0.5) AS q50, min(bucket) FILTER (below >= total * 0.75) AS q75 FROM ranked GROUP BY ALL
-), floors(metric, low) AS (VALUES ('symbol_mille', 30), ('dup_line_mille', 400), ('repeat_mille', 400), ('word_len_cents', 1000)
-), lim AS (SELECT level, lang, source, metric, greatest(low, q50 + 8 * (q75 - q50)) AS limit_ FROM points JOIN floors USING (metric) WHERE total >= 100
-), wide AS (SELECT level, lang, source, max(limit_) FILTER (metric = 'symbol_mille') AS a, max(limit_) FILTER (metric = 'dup_line_mille') AS b, max(limit_) FILTER (metric = 'repeat_mille') AS c, max(limit_) FILTER (metric = 'word_len_cents') AS d FROM lim GROUP BY ALL
+), points AS (SELECT level, lang, source, metric, max(total)::BIGINT AS n, min(bucket) FILTER (below >= total * 0.25) AS q25, min(bucket) FILTER (below >= total * 0.5) AS q50 FROM ranked GROUP BY ALL
+), rules(metric, spread, allowance, size, least_size, most) AS (VALUES ('symbol_mille', 8, 16000, 'word_chars', 300, 1000), ('dup_line_mille', 8, 2000, 'n_lines', 5, 1000),
+    ('repeat_mille', 8, 54000, 'n_words', 75, 1000), ('word_len_cents', 12, 0, 'n_words', 50, NULL)
+), own AS (SELECT p.level, p.lang, p.source, p.metric, p.n, least(p.q50 + spread * (p.q50 - p.q25) + allowance // greatest(s.q50, least_size), coalesce((p.q50 + most) // 2, 9223372036854775807)) AS limit_
+  FROM points p JOIN rules r ON r.metric = p.metric JOIN points s ON s.level = p.level AND s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source AND s.metric = r.size
+), top AS (SELECT metric, limit_ FROM own WHERE level = 0
+), by_lang AS (SELECT o.lang, o.metric, least((o.n * o.limit_ + 100 * t.limit_) // (o.n + 100), 2 * t.limit_) AS limit_ FROM own o JOIN top t ON t.metric = o.metric WHERE o.level = 1
+), lim AS (SELECT o.lang, o.source, o.metric, least((o.n * o.limit_ + 100 * b.limit_) // (o.n + 100), 2 * b.limit_) AS limit_
+  FROM own o JOIN by_lang b ON b.metric = o.metric AND b.lang IS NOT DISTINCT FROM o.lang WHERE o.level = 2
+), wide AS (SELECT lang, source, max(limit_) FILTER (metric = 'symbol_mille') AS a, max(limit_) FILTER (metric = 'dup_line_mille') AS b, max(limit_) FILTER (metric = 'repeat_mille') AS c, max(limit_) FILTER (metric = 'word_len_cents') AS d FROM lim GROUP BY ALL
 )
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, symbol_mille, dup_line_mille, repeat_mille, word_len_cents,
+  a::BIGINT AS limit_symbol_mille, b::BIGINT AS limit_dup_line_mille, c::BIGINT AS limit_repeat_mille, d::BIGINT AS limit_word_len_cents,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbol_mille <= coalesce(g.a, h.a, i.a, 30) AND dup_line_mille <= coalesce(g.b, h.b, i.b, 400)
-    AND repeat_mille <= coalesce(g.c, h.c, i.c, 400) AND word_len_cents <= coalesce(g.d, h.d, i.d, 1000) AS kept
-FROM m LEFT JOIN wide g ON g.level = 2 AND g.lang IS NOT DISTINCT FROM m.lang AND g.source IS NOT DISTINCT FROM m.source
-  LEFT JOIN wide h ON h.level = 1 AND h.lang IS NOT DISTINCT FROM m.lang LEFT JOIN wide i ON i.level = 0""",
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbol_mille <= a AND dup_line_mille <= b AND repeat_mille <= c AND word_len_cents <= d AS kept
+FROM m LEFT JOIN wide w ON w.lang IS NOT DISTINCT FROM m.lang AND w.source IS NOT DISTINCT FROM m.source""",
 }

@@ -18,15 +18,23 @@ SKETCH_BITS = 6
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 #: The metrics that get adaptive limits; all are higher for worse texts.
 METRICS = ("symbol_mille", "dup_line_mille", "repeat_mille", "word_len_cents")
-#: (floor of the limit, spread factor) by metric: a text is rejected above max(floor, q50 + factor * min(q75 - q50, q50 - q25)) of
-#: its language and source.  The floor keeps groups without spread, and small ones, from rejecting on noise; the spread below
-#: the median keeps bad rows, which are high, from loosening the limit while they are under half of the group.
-LIMITS = {"symbol_mille": (30, 8), "dup_line_mille": (400, 8), "repeat_mille": (400, 8), "word_len_cents": (1000, 8)}
-#: The most a rate can be.  Its limit stays below the middle of that and the median, or its floor, so the rule can always reject.
+#: The sizes that rates are taken of; sketched too.
+SIZES = ("word_chars", "n_lines", "n_words")
+#: (spread factor, allowance, its size, least size) by metric: a text is rejected above q50 + factor * (q50 - q25) +
+#: allowance / max(q50 of the size, least size) of its language and source.  The spread below the median keeps bad rows, which are
+#: high, from loosening the limit while they are under half of the group.  The allowance is what some events (16 symbols, 2 lines,
+#: 54 words) make in a middling text of the group: most rates are 0, and a quantile of 0 must not reject for a single event.
+LIMITS = {
+    "symbol_mille": (8, 16_000, "word_chars", 300),
+    "dup_line_mille": (8, 2_000, "n_lines", 5),
+    "repeat_mille": (8, 54_000, "n_words", 75),
+    "word_len_cents": (12, 0, "n_words", 50),
+}
+#: The most a rate can be.  Its limit stays below the middle of that and the median, so the rule can always reject.
 MOST = {"symbol_mille": 1000, "dup_line_mille": 1000, "repeat_mille": 1000}
 
-#: Rows that a group needs for limits of its own.
-GROUP_ROWS = 100
+#: Rows of the group above that a group's limits are averaged with, and how many times those limits its own can be at most.
+PRIOR_ROWS, PRIOR_TIMES = 100, 2
 
 
 def _let(value: Column, body) -> Column:
@@ -89,99 +97,104 @@ def quantiles(sketches: DataFrame, keys: list[str], points: dict[str, float]) ->
     return ranked.groupBy(*keys, "metric").agg(F.max("all").alias("n"), *[F.min(F.when(F.col("below") >= F.col("all") * p, F.col("bucket"))).alias(name) for name, p in points.items()])
 
 
-def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the base columns and the METRICS, whole-number rates, under ``prefix``; 0 where a text has no words."""
-    c = lambda name: prefix + name
-    based = docs.withColumns({c(k): v for k, v in base_columns(F.col(text_col)).items()})
-    rate = lambda a, b, unit: F.coalesce(F.floor(F.try_divide(F.col(c(a)) * unit, F.col(c(b)))), F.lit(0)).cast("long")
-    return based.withColumns({
-        c("symbol_mille"): rate("n_symbols", "word_chars", 1000),
-        c("dup_line_mille"): rate("n_dup_lines", "n_lines", 1000),
-        c("repeat_mille"): rate("n_repeat_words", "n_words", 1000),
-        c("word_len_cents"): rate("word_chars", "n_words", 100),
+def measure(docs: DataFrame) -> DataFrame:
+    """docs with the base columns of ``text`` and the METRICS, whole-number rates; 0 where a text has no words."""
+    rate = lambda a, b, unit: F.coalesce(F.floor(F.try_divide(F.col(a) * unit, F.col(b))), F.lit(0)).cast("long")
+    return docs.withColumns(base_columns(F.col("text"))).withColumns({
+        "symbol_mille": rate("n_symbols", "word_chars", 1000),
+        "dup_line_mille": rate("n_dup_lines", "n_lines", 1000),
+        "repeat_mille": rate("n_repeat_words", "n_words", 1000),
+        "word_len_cents": rate("word_chars", "n_words", 100),
     })
 
 
 def _limits_of(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, one limit column for each metric), from sketches of finer keys, which are merged."""
+    """(keys, n, one limit column for each metric) by a group's own quantiles, from sketches of finer keys, which are merged."""
     merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    points = quantiles(merged, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    floor, factor, most = F.lit(None), F.lit(None), F.lit(None)
-    for m, (low, spread) in LIMITS.items():
-        floor, factor = F.when(F.col("metric") == m, low).otherwise(floor), F.when(F.col("metric") == m, spread).otherwise(factor)
-        most = F.when(F.col("metric") == m, MOST.get(m)).otherwise(most)
-    adaptive = F.col("q50") + factor * F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"))
-    limit = F.greatest(floor, F.least(adaptive, F.floor((F.col("q50") + most) / 2))).cast("long")
-    per_metric = [F.max(F.when(F.col("metric") == m, limit)).alias(m) for m in METRICS]
-    return points.groupBy(*keys).agg(F.max("n").alias("n"), *per_metric)
-
-
-def limits(measured: DataFrame, keys: list[str], work: Workspace, prefix: str = "") -> DataFrame:
+    points = quantiles(merged, keys, {"q25": 0.25, "q50": 0.5})
+    of = lambda name, m: F.max(F.when(F.col("metric") == m, F.col(name)))
+    wide = points.groupBy(*keys).agg(
+        F.max("n").alias("n"), *[of(q, m).alias(f"{q}_{m}") for q in ("q25", "q50") for m in METRICS], *[of("q50", m).alias(f"size_{m}") for m in SIZES]
+    )
+    own = []
+    for m, (spread, allowance, size, least) in LIMITS.items():
+        middle, low = F.col(f"q50_{m}"), F.col(f"q25_{m}")
+        limit = middle + spread * (middle - low) + F.floor(F.lit(allowance) / F.greatest(F.col(f"size_{size}"), F.lit(least)))
+        own.append((F.least(limit, F.floor((middle + MOST[m]) / 2)) if m in MOST else limit).cast("long").alias(m))
+    return wide.select(*keys, "n", *own)
+
+
+def limits(measured: DataFrame, keys: list[str], work: Workspace) -> DataFrame:
     """(keys, one limit column for each metric, named as it), from sketches over all rows.
 
-    A group of fewer than GROUP_ROWS rows says little about itself, so its sketch is merged with its relatives': limits come from the
-    finest of (language, source), language and all rows that has enough, else from the floors.
+    A group's limits are averaged with those of the group above it, (language, source) with the language's and that with the
+    table's: n rows weigh n against PRIOR_ROWS, so small groups follow their relatives and large ones themselves, and no count
+    of rows flips a rule.  A group in which bad rows prevail is held by at most PRIOR_TIMES the limits above it.
     """
-    rows = measured.select(*keys, *[F.col(prefix + m).alias(m) for m in METRICS])
-    sketches = work.write(sketch(rows, keys), "sketches")
-    chosen = {m: F.lit(LIMITS[m][0]).cast("long") for m in METRICS}
+    sketches = work.write(sketch(measured, keys, (*METRICS, *SIZES)), "sketches")
     top = _limits_of(sketches, []).first()
-    if top and top["n"] is not None and top["n"] >= GROUP_ROWS:
-        chosen = {m: F.lit(top[m]).cast("long") for m in METRICS}
-    out = _limits_of(sketches, keys)
-    for k in range(1, len(keys)):
-        above = _limits_of(sketches, keys[:k]).select(*[F.col(x).alias(f"__{k}_{x}") for x in (*keys[:k], "n", *METRICS)])
-        out = out.join(above, [F.col(x).eqNullSafe(F.col(f"__{k}_{x}")) for x in keys[:k]], "left")
-        chosen = {m: F.when(F.col(f"__{k}_n") >= GROUP_ROWS, F.col(f"__{k}_{m}")).otherwise(chosen[m]) for m in METRICS}
-    return out.select(*keys, *[F.when(F.col("n") >= GROUP_ROWS, F.col(m)).otherwise(chosen[m]).alias(m) for m in METRICS])
+    above, out = {m: F.lit(top[m] if top else None).cast("long") for m in METRICS}, None
+    for k in range(1, len(keys) + 1):
+        own = _limits_of(sketches, keys[:k])
+        if out is not None:
+            parent = out.select(*[F.col(x).alias(f"above_{x}") for x in (*keys[: k - 1], *METRICS)])
+            own = own.join(parent, [F.col(x).eqNullSafe(F.col(f"above_{x}")) for x in keys[: k - 1]])
+            above = {m: F.col(f"above_{m}") for m in METRICS}
+        total = {m: F.col("n") * F.col(m) + PRIOR_ROWS * above[m] for m in METRICS}
+        out = own.select(*keys[:k], *[F.least(F.call_function("div", total[m], F.col("n") + PRIOR_ROWS), PRIOR_TIMES * above[m]).alias(m) for m in METRICS])
+    return out
 
 
 #: Groups up to which the limits are broadcast (five numbers each); their count is checked before, and more are joined by shuffling.
 BROADCAST_GROUPS = 50_000
 
 
-def judge(measured: DataFrame, keys: list[str], work: Workspace, prefix: str = "") -> DataFrame:
-    """``measured`` with base_failed and kept under ``prefix``.
+def judge(measured: DataFrame, keys: list[str], work: Workspace) -> DataFrame:
+    """``measured`` with its limits (limit_ and the metric), base_failed and kept.
 
     ``measured`` is read twice, so pass a written table.  Keys are compared null-safe: null languages or
     sources form a group.  A row is kept if no base rule and no limit of its group rejects it.
     """
-    found = limits(measured, keys, work, prefix)
-    renamed = found.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], *[F.col(m).alias(f"__limit_{m}") for m in METRICS])
+    found = limits(measured, keys, work)
+    renamed = found.select(*[F.col(k).alias(f"of_{k}") for k in keys], *[F.col(m).alias(f"limit_{m}") for m in METRICS])
     if renamed.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         renamed = F.broadcast(renamed)
-    on = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
-    c = lambda name: F.col(prefix + name)
-    failed = (c("n_words") < 50) | (c("n_repeat_words") * 100 > c("n_words") * 50)
+    on = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     within = F.lit(True)
     for m in METRICS:
-        within = within & (c(m) <= F.col(f"__limit_{m}"))
-    joined = measured.join(renamed, on, "left")
-    out = joined.withColumns({prefix + "base_failed": failed, prefix + "kept": ~failed & within})
-    return out.drop(*[x for x in renamed.columns])
+        within = within & (F.col(m) <= F.col(f"limit_{m}"))
+    joined = measured.join(renamed, on, "left").drop(*[f"of_{k}" for k in keys])
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & within})
+
+
+def _measured(docs: DataFrame, text_col: str, keys: tuple[str, ...], carried: Column, work: Workspace) -> tuple[DataFrame, list[str]]:
+    """(row, keys under names of their own, measures), written: what the caller's table has stays inside ``row``, so no name clashes."""
+    names = [f"key{i}" for i in range(len(keys))]
+    source = docs.select(carried.alias("row"), docs[text_col].alias("text"), *[docs[k].alias(n) for k, n in zip(keys, names)])
+    return work.write(measure(source).drop("text"), "measured"), names
 
 
 def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(doc_id, base columns, metrics, base_failed, kept) of every row.
+    """(doc_id, base columns, metrics, limit_ columns, base_failed, kept) of every row.
 
     Texts are read once; the measures, a few numbers a row, are written to the shared folder, sketched per
-    group and joined with the group's limits.  Null and empty texts have no words and fail the base rule;
-    null keys form a group; null ids and repeated rows stay; an empty table gives no rows.
+    group and joined with the group's limits.  Null and empty texts have no words and fail the base rule; very long texts are
+    measured whole in their task; a rate that equals its limit is kept; null keys form a group; null ids and repeated rows stay; an
+    empty table gives no rows; other columns, whatever their names, are not read.
     """
     work = Workspace(docs.sparkSession, "quality")
-    names = [f"__key{i}" for i in range(len(keys))]
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
-    measured = work.write(measure(source).drop("text"), "measured")
-    return judge(measured, names, work).drop(*names)
+    measured, names = _measured(docs, text_col, keys, F.struct(docs[id_col].alias("doc_id")), work)
+    judged = judge(measured, names, work).drop(*names)
+    return judged.select("row.doc_id", *[c for c in judged.columns if c != "row"])
 
 
 def filter_documents(docs: DataFrame, *, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its columns.
+    """The rows of ``docs`` that the rules keep, with its columns, whatever their names.
 
-    The table is written once with its measures (under names starting with ``__rule_``), so no text is shuffled
-    or measured twice: the limits come from the measures, and the second pass only joins them.
+    The table is written once with its measures, so no text is shuffled or measured twice: the limits come from the measures, and
+    the second pass only joins them.  Odd rows as in ``quality_report``.
     """
     work = Workspace(docs.sparkSession, "quality")
-    measured = work.write(measure(docs, text_col, "__rule_"), "measured")
-    judged = judge(measured, list(keys), work, "__rule_")
-    return judged.where("__rule_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    measured, names = _measured(docs, text_col, keys, F.struct(*[docs[f"`{c}`"] for c in docs.columns]), work)
+    return judge(measured, names, work).where("kept").select("row.*")

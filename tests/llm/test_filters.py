@@ -26,12 +26,12 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def quality_docs(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice(["a", "b", " ", " ", "\n", "\x0b", "#", "<", "é ", "\xa0", "😀"]) for _ in range(rng.randint(0, 120))) for _ in range(300)]
-    texts += [None, "", "   \n", "a", "a b", "a b c", "a b c a b c", "x " * 500, "line\nline\n line\n", "$ \\1 %"]
+    texts += [None, "", "   \n", "a", "a b", "a b c", "a b c a b c", "x " * 500, " ".join(f"v{i % 7000}" for i in range(70_000)), "line\nline\n line\n", "$ \\1 %"]
     clean = [" ".join(f"v{rng.randint(0, 999)}" for _ in range(80)) for _ in range(160)]
     noisy = [" ".join(f"v{rng.randint(0, 999)}&&" for _ in range(80)) for _ in range(6)]
     rows = [(i, t, "en", None if i % 5 == 0 else "s") for i, t in enumerate(texts)] + [(1000 + i, t, "de", "s") for i, t in enumerate(clean)] + [(2000 + i, t, "de", "s") for i, t in enumerate(noisy)]
     rows += [(None, clean[0], None, None), (1000, clean[0], "de", "s")]
-    return spark.createDataFrame([(*r, 1.5, "t") for r in rows], "doc_id long, text string, lang string, source string, kept double, metric string"), rows
+    return spark.createDataFrame([(*r, 1.5, "t", 1, 2, 3, 4) for r in rows], "doc_id long, text string, lang string, source string, kept double, metric string, row int, key0 int, n_words int, __limit_symbol_mille int"), rows
 
 
 def test_quality_measures_and_verdicts(spark):
@@ -61,7 +61,24 @@ def test_bad_rows_under_half_of_a_group_do_not_loosen_its_limits(spark):
     assert not any(r["base_failed"] for r in report) and {r["doc_id"] for r in report if r["kept"]} == set(range(140)) | set(range(200, 340))
     spread = spark.createDataFrame([("g", m, b, 50) for m in quality_rules.METRICS for b in (100, 304, 504, 904)], "g string, metric string, bucket long, n long")
     limit = quality_rules._limits_of(spread, ["g"]).first()
-    assert all(quality_rules.LIMITS[m][0] <= limit[m] < 1000 for m in ("symbol_mille", "dup_line_mille", "repeat_mille"))
+    assert all(304 <= limit[m] < 1000 for m in ("symbol_mille", "dup_line_mille", "repeat_mille"))
+
+
+def test_limits_are_the_groups_own_and_follow_its_rows_smoothly(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet")
+    report = quality_rules.quality_report(docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    rows = report.groupBy("lang", "source").agg(*[F.max(f"limit_{m}").alias(m) for m in quality_rules.METRICS], F.sum(F.when(~F.col("base_failed") & ~F.col("kept"), 1)).alias("rejected")).collect()
+    for m in ("dup_line_mille", "repeat_mille", "word_len_cents"):
+        (_, most), = collections.Counter(r[m] for r in rows).most_common(1)
+        assert most < len(rows) / 2, m
+    assert sum(r["rejected"] or 0 for r in rows) > 300
+    say = lambda n, seed: [" ".join(f"v{random.Random(seed * 1000 + i).randint(0, 9)}{'x' * (i % 7)}" for i in range(k, k + 80)) for k in range(n)]
+    found = []
+    for n in (20, 60, 99, 100, 101, 400):
+        rows = [(i, t, "en", "large") for i, t in enumerate(say(600, 1))] + [(1000 + i, t + " " + "long" * 60, "en", "small") for i, t in enumerate(say(n, 2))]
+        report = quality_rules.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+        found.append(report.where("doc_id >= 1000").first()["limit_word_len_cents"])
+    assert found == sorted(found) and found[0] < found[-1] and found[4] - found[2] <= 5
 
 
 def test_sketch_is_exact_to_a_64th_and_merges(spark):
