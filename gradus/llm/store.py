@@ -29,11 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A fresh subfolder for one operator call."""
+    """A fresh subfolder for one operator call, or the folder ``root``."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/gradus-{name}-{uuid.uuid4().hex}"
+        self.root = root or f"{shared_dir(spark)}/gradus-{name}-{uuid.uuid4().hex}"
+
+    def _hadoop(self, path: str):
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        """What the folder has; nothing if there is none."""
+        path, fs = self._hadoop(self.root)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+    def put(self, name: str, text: str) -> None:
+        """Writes a small file, which appears whole or not at all."""
+        path, fs = self._hadoop(self.path(name))
+        made, _ = self._hadoop(self.path(f".{name}-{uuid.uuid4().hex}"))
+        out = fs.create(made, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.rename(made, path):
+            raise RuntimeError(f"{self.path(name)} can't be written")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,9 +65,8 @@ class Workspace:
 
     def drop(self, name: str = "") -> None:
         """Deletes one table of this workspace (or all of it), once nothing reads it any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._hadoop(self.path(name) if name else self.root)
+        fs.delete(path, True)
 
     def release_shuffles(self) -> None:
         """Lets Spark's cleaner remove shuffle files of earlier steps that nothing refers to now."""

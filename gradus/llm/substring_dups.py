@@ -2,24 +2,42 @@
 
 A window is ``WINDOW`` consecutive words.  Its fingerprint is the smallest hash of the ``ANCHOR``-word runs inside it, so
 equal windows have equal fingerprints, while neighbouring windows mostly share one: a text has about
-2 / (WINDOW - ANCHOR + 2) fingerprints a word.  The index maps each fingerprint to the smallest document
-that has it and tells whether several have it.  It consists of immutable runs, bucketed and sorted by
-fingerprint; a new batch of documents is aggregated by fingerprint, merge-joined with each run without
-shuffling it, and becomes a run itself; when there are ``FAN_IN`` runs they are compacted into one.
-Fingerprints only choose candidates: windows with a fingerprint of several documents are then compared
-by a 64-bit hash of all their words, whose smallest document decides.
+2 / (WINDOW - ANCHOR + 2) fingerprints a word.  The index is a folder of immutable runs, bucketed and sorted by their key, which a
+manifest lists:
+
+* ``digests``: the smallest document of each whole text, so exact copies are told at once and enter no other run;
+* ``fps``: the smallest document of each fingerprint, and whether several documents have it;
+* ``windows``: the smallest document of each window (128-bit digest of its words), for windows whose fingerprint is shared;
+* ``texts``: the log of the documents' texts, by id, from which windows are taken when a later batch shares their fingerprint;
+* ``marks``: the places of the windows that start in a smaller document, by document.
+
+A batch is merge-joined with the runs, which are neither shuffled nor sorted again, and adds runs of its own; at ``FAN_IN`` runs of a
+kind they are compacted into one.  Fingerprints only choose candidates; the verdict is over digests of the candidates' words.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .store import Workspace, small_batches
 
 WINDOW, ANCHOR, FAN_IN, BATCHES = 13, 5, 3, 4
 GOLD, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Parts that the rows of one whole text are divided into where they meet its smallest document.
+SALTS = 16
+#: Columns of each kind of run, and how many of the first are its key.
+KINDS = {
+    "digests": ("digest binary, first long", 1),
+    "fps": ("fp long, first long, several boolean, promoted long", 1),
+    "windows": ("wa long, wb long, first long, last long", 2),
+    "texts": ("doc_id long, text string, copy boolean, tag long", 1),
+    "marks": ("doc_id long, tag long, starts array<int>", 1),
+}
 
 
 def _word_hashes(words: list[bytes]):
@@ -56,67 +74,185 @@ def fingerprints(words, window: int = WINDOW, anchor: int = ANCHOR):
     return np.minimum(runs[:count], runs[span - held : span - held + count]).view(np.int64)
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession):
+    """Scans of runs promise their order while a step is planned and run, so merge joins don't sort runs again; the session's
+    setting is put back."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class FingerprintIndex:
-    """Runs of (fp, first, several): each fingerprint's smallest document, and whether others have it too."""
+    """The index in a shared folder; ``open`` finds what earlier calls have committed, in this session or another.
 
-    def __init__(self, work: Workspace, fan_in: int = FAN_IN):
-        self.work, self.fan_in, self.runs, self.made = work, fan_in, [], 0
-        self.buckets = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    A batch's runs count from the moment its manifest is renamed into place: a call that dies before leaves files that no manifest
+    lists, and can be repeated.
+    """
 
-    def _store(self, df: DataFrame) -> None:
-        name, self.made = f"run-{self.made}", self.made + 1
-        table = f"gradus_run_{uuid.uuid4().hex}"
-        df.select("fp", "first", "several").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self.work.path(name)).saveAsTable(table)
-        self.runs.append((table, name))
+    def __init__(self, work: Workspace, fan_in: int = FAN_IN):
+        self.work, self.spark, self.fan_in, self.version = work, work.spark, fan_in, 0
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: dict[str, list[str]] = {kind: [] for kind in KINDS}
+        self._tables: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, fan_in: int = FAN_IN) -> FingerprintIndex:
+        """The index of that folder, empty if there is none yet."""
+        work = Workspace(spark, "index", root)
+        index = cls(work, fan_in)
+        if versions := sorted(x for x in work.names() if x.startswith("manifest-")):
+            found = json.loads(spark.read.text(work.path(versions[-1]), wholetext=True).first()[0])
+            index.version, index.buckets, index.runs = found["version"], found["buckets"], found["runs"]
+        return index
+
+    def _commit(self) -> None:
+        self.version += 1
+        self.work.put(f"manifest-{self.version:08d}", json.dumps({"version": self.version, "buckets": self.buckets, "runs": self.runs}))
+
+    def _table(self, name: str) -> DataFrame:
+        """A run as a bucketed table, which the session's catalog gets to know if it doesn't yet."""
+        if name not in self._tables:
+            columns, keys = KINDS[name.split("-")[0]]
+            by = [c.split()[0] for c in columns.split(", ")][:keys]
+            table = f"gradus_{uuid.uuid4().hex}"
+            typed = columns.replace(" long", " bigint")
+            self.spark.sql(f"CREATE TABLE {table} ({typed}) USING parquet CLUSTERED BY ({by[0]}) SORTED BY ({', '.join(by)}) INTO {self.buckets} BUCKETS LOCATION '{self.work.path(name)}'")
+            self._tables[name] = table
+        return self.spark.table(self._tables[name])
+
+    def _plain(self, name: str) -> DataFrame:
+        """A run as files: joins with it shuffle both sides, so Spark can divide hot keys."""
+        return self.spark.read.schema(KINDS[name.split("-")[0]][0]).parquet(self.work.path(name))
+
+    def _store(self, kind: str, df: DataFrame) -> str:
+        columns, keys = KINDS[kind]
+        names = [c.split()[0] for c in columns.split(", ")]
+        name, table = f"{kind}-{uuid.uuid4().hex}", f"gradus_{uuid.uuid4().hex}"
+        dealt = df.select(*names).repartition(self.buckets, names[0]).sortWithinPartitions(*names[:keys])
+        with _sorted_scans(self.spark):
+            dealt.write.bucketBy(self.buckets, names[0]).sortBy(*names[:keys]).option("path", self.work.path(name)).saveAsTable(table)
+        self._tables[name] = table
+        return name
+
+    def _known(self, new: DataFrame, kind: str, on: list[str], columns: list[str]) -> tuple[DataFrame, dict[str, list]]:
+        """``new`` merge-joined with every run of the kind; the runs' columns by name, each null where a run lacks the key."""
+        found: dict[str, list] = {c: [] for c in columns}
+        for i, name in enumerate(self.runs[kind]):
+            old = self._table(name).select(*on, *[F.col(c).alias(f"{c}_{i}") for c in columns])
+            new = new.join(old.hint("merge"), on, "left")
+            for c in columns:
+                found[c].append(F.col(f"{c}_{i}"))
+        return new, found
+
+    def absorb(self, batch: DataFrame) -> DataFrame:
+        """Adds a batch (doc_id, text) of no null ids and returns its verdict: doc_id, text, copy, starts.
+
+        ``copy`` says that a smaller document, of this batch or an earlier one, has the same text; ``starts`` has the words at which
+        windows begin that also start in a smaller document.  Earlier batches are read through runs only.  The verdict is over the batch
+        and all before it; a later batch does not change it, so batches should come by ascending id where ids decide who is first.
+        """
+        work, tmp = self.work, f"tmp-{uuid.uuid4().hex}"
+        digest = F.unhex(F.md5("text"))
+        rows = batch.where("text is not null").select("doc_id", digest.alias("digest"))
+        new, known = self._known(rows.groupBy("digest").agg(F.min("doc_id").alias("first")), "digests", ["digest"], ["first"])
+        added = {"digests": self._store("digests", new.withColumn("first", F.least("first", *known["first"], F.lit(None))))}
+
+        salted = lambda df, salt: df.withColumn("salt", salt)
+        least = salted(self._plain(added["digests"]), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        copies = salted(rows, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(least, ["digest", "salt"]).where("doc_id > first")
+        copies = work.write(copies.select("doc_id", "digest").distinct(), f"{tmp}-copies").select(F.col("doc_id").alias("copy_id"), F.col("digest").alias("copy_digest"))
+        tag = F.coalesce(F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("long"), F.lit(0))
+        texts = batch.join(copies, (F.col("doc_id") == F.col("copy_id")) & ~(digest != F.col("copy_digest")), "left")
+        added["texts"] = self._store("texts", texts.select("doc_id", "text", F.col("copy_id").isNotNull().alias("copy"), tag.alias("tag")))
+        work.release_shuffles()
 
-    def _table(self, run) -> DataFrame:
-        return self.work.spark.table(run[0])
+        postings = work.write(_postings(self._plain(added["texts"]).where("not copy").select("doc_id", "text")), f"{tmp}-postings")
+        new, known = self._known(postings.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "fps", ["fp"], ["first", "several"])
+        old_first = F.least(*known["first"], F.lit(None), F.lit(None)).cast("long")
+        old_several = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in known["several"]], F.lit(False))
+        several = (F.col("first") != F.col("last")) | old_several | F.coalesce(old_first != F.col("first"), F.lit(False))
+        lone = F.when(~old_several & (old_first != F.col("first")) | (~old_several & (F.col("first") != F.col("last"))), old_first)
+        added["fps"] = self._store("fps", new.select("fp", F.least("first", old_first).alias("first"), several.alias("several"), lone.alias("promoted")))
+        work.release_shuffles()
 
-    def absorb(self, postings: DataFrame) -> None:
-        """Adds a batch's (fp, doc_id): merge-joined with every run, then written as a run of its own.
+        fresh = self._plain(added["fps"]).where("several")
+        hits = postings.join(fresh.select("fp"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+        hits = work.write(hits, f"{tmp}-hits")
+        promoted = work.write(fresh.where("promoted is not null").groupBy(F.col("promoted").alias("doc_id")).agg(F.collect_set("fp").alias("fps")), f"{tmp}-promoted")
+        found = [self._table(added["texts"]).where("not copy").join(hits, "doc_id")]
+        if self.runs["texts"] and not promoted.isEmpty():
+            found += [self._table(name).where("not copy").join(promoted, "doc_id") for name in self.runs["texts"]]
+        with _sorted_scans(self.spark):
+            windows = work.write(reduce(DataFrame.union, [_windows(x.select("doc_id", "tag", "text", "fps")) for x in found]), f"{tmp}-windows")
+        work.release_shuffles()
 
-        Within a batch fingerprints are aggregated before they are shuffled, so one that a third of all documents hold
-        costs a row per task.  Batches may come in any order of ids.
-        """
-        new = postings.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        several = F.col("first") != F.col("last")
-        for i, run in enumerate(self.runs):
-            old = self._table(run).select("fp", F.col("first").alias(f"first{i}"), F.lit(True).alias(f"known{i}"))
-            new = new.join(old.hint("merge"), "fp", "left")
-            several = several | F.coalesce(F.col(f"known{i}"), F.lit(False))
-        first = F.least("first", *[f"first{i}" for i in range(len(self.runs))]) if self.runs else F.col("first")
-        self._store(new.select("fp", first.alias("first"), several.alias("several")))
-        if len(self.runs) >= self.fan_in:
+        key = ["wa", "wb"]
+        new, known = self._known(windows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "windows", key, ["first", "last"])
+        added["windows"] = self._store("windows", new.select(*key, F.least("first", *known["first"], F.lit(None)).alias("first"), F.greatest("last", *known["last"], F.lit(None)).alias("last")))
+        work.release_shuffles()
+        shared = self._plain(added["windows"]).where("first < last").select(*key, "first")
+        marks = windows.join(shared, key).where("doc_id > first").groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))
+        added["marks"] = self._store("marks", marks)
+        for kind, name in added.items():
+            self.runs[kind].append(name)
+        self._commit()
+        for name in ("copies", "postings", "hits", "promoted", "windows"):
+            work.drop(f"{tmp}-{name}")
+        work.release_shuffles()
+        if len(self.runs["fps"]) >= self.fan_in:
             self.compact()
+        return self._verdict(added["texts"], added["marks"])
+
+    def _verdict(self, texts: str, marks: str) -> DataFrame:
+        mark = self._table(marks).select(F.col("doc_id").alias("mark_id"), F.col("tag").alias("mark_tag"), "starts")
+        out = self._table(texts).join(mark.hint("merge"), (F.col("doc_id") == F.col("mark_id")) & ~(F.col("tag") != F.col("mark_tag")), "left")
+        return out.select("doc_id", "text", "copy", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+
+    def verdicts(self) -> DataFrame:
+        """The verdicts of all batches so far, each as it was given."""
+        return reduce(DataFrame.union, [self._verdict(*pair) for pair in zip(self.runs["texts"], self.runs["marks"])])
 
     def compact(self) -> None:
-        """Merges all runs into one and deletes them."""
-        if len(self.runs) < 2:
-            return
-        old, self.runs = self.runs, []
-        merged = self._table(old[0])
-        for run in old[1:]:
-            merged = merged.union(self._table(run))
-        self._store(merged.groupBy("fp").agg(F.min("first").alias("first"), F.max("several").alias("several")))
-        for run in old:
-            self._forget(run)
-
-    def _forget(self, run) -> None:
-        self.work.spark.sql(f"DROP TABLE IF EXISTS {run[0]}")
-        self.work.drop(run[1])
-
-    def shared(self) -> DataFrame:
-        """(fp) of the fingerprints that several documents have; a fingerprint may come more than once."""
-        found = [self._table(run).where("several").select("fp") for run in self.runs]
-        out = found[0]
-        for x in found[1:]:
-            out = out.union(x)
-        return out
+        """Merges all runs of a kind into one, commits that and deletes the merged ones.  Texts are a log and stay."""
+        least, most = F.min("first").alias("first"), F.max("last").alias("last")
+        merged = {
+            "digests": (["digest"], [least]), "windows": (["wa", "wb"], [least, most]),
+            "fps": (["fp"], [least, (F.max("several") | (F.min("first") != F.max("first"))).alias("several"), F.lit(None).cast("long").alias("promoted")]),
+        }
+        old = []
+        for kind, (key, measures) in merged.items():
+            if len(self.runs[kind]) > 1:
+                every = reduce(DataFrame.union, [self._plain(name) for name in self.runs[kind]])
+                old += self.runs[kind]
+                self.runs[kind] = [self._store(kind, every.groupBy(*key).agg(*measures))]
+                self.work.release_shuffles()
+        if old:
+            self._commit()
+        for name in old:
+            self._forget(name)
+            self.work.drop(name)
+
+    def _forget(self, name: str) -> None:
+        if table := self._tables.pop(name, None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
     def close(self) -> None:
-        for run in self.runs:
-            self._forget(run)
-        self.runs = []
+        """Takes the runs out of the session's catalog; their files stay, and DataFrames that read them still do."""
+        for name in list(self._tables):
+            self._forget(name)
+
+    def drop_search(self) -> None:
+        """Deletes the runs that only further batches need; verdicts stay."""
+        for kind in ("digests", "fps", "windows"):
+            for name in self.runs[kind]:
+                self._forget(name)
+                self.work.drop(name)
+            self.runs[kind] = []
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -135,26 +271,34 @@ def _postings(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "fp long, doc_id long")
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
-    """(window, doc_id) once per document, for windows whose fingerprint is in the row's list ``fps``."""
+def _windows(docs: DataFrame) -> DataFrame:
+    """(wa, wb, doc_id, tag, start): place and 128-bit digest of the words of every window whose fingerprint is in the row's list ``fps``."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
-            found = [np.zeros(0, np.int64)]
+            digests, starts, rows = [], [np.zeros(0, np.int64)], []
             for text, fps in zip(batch.column("text"), batch.column("fps")):
-                words = _word_hashes((text.as_py() or "").encode().split())
-                at = np.flatnonzero(np.isin(fingerprints(words), fps.values.to_numpy()))
-                found.append(np.unique(_runs_of(words, WINDOW)[at]).view(np.int64))
-            docs = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found[1:]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(docs.astype(np.int64))], ["window", "doc_id"])
-
-    return docs.mapInArrow(run, "window long, doc_id long")
-
-
-def _removed(docs: DataFrame) -> DataFrame:
+                words = (text.as_py() or "").encode().split()
+                at = np.flatnonzero(np.isin(fingerprints(_word_hashes(words)), fps.values.to_numpy()))
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                begins = np.concatenate([[0], ends[:-1]]) if len(words) else ends
+                digests += [xxh3_128_digest(joined[a:b]) for a, b in zip(begins[at].tolist(), (ends[at + WINDOW - 1] - 1).tolist())]
+                starts.append(at)
+                rows.append(len(at))
+            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            again = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), rows).astype(np.int64))  # noqa: E731, B023
+            columns = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), again("doc_id"), again("tag"), pa.array(np.concatenate(starts).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["wa", "wb", "doc_id", "tag", "start"])
+
+    return docs.mapInArrow(run, "wa long, wb long, doc_id long, tag long, start int")
+
+
+def _removed(verdicts: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -162,63 +306,54 @@ def _removed(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for text, copy, windows in zip(batch.column("text"), batch.column("copy").to_pylist(), batch.column("windows")):
+            for text, copy, starts in zip(batch.column("text"), batch.column("copy").to_pylist(), batch.column("starts")):
                 words = (text.as_py() or "").encode().split()
                 n, kept = len(words), words
                 if copy and n >= WINDOW:
                     kept = []
-                elif windows.is_valid and n >= WINDOW:
-                    starts = np.isin(_runs_of(_word_hashes(words), WINDOW).view(np.int64), windows.values.to_numpy())
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, np.flatnonzero(starts), 1)
-                    np.add.at(edge, np.flatnonzero(starts) + WINDOW, -1)
-                    gone = np.cumsum(edge)[:n] > 0
+                elif len(starts.values):
+                    begun = np.bincount(starts.values.to_numpy(), minlength=n + WINDOW).astype(bool).astype(np.int64)
+                    begun[WINDOW:] -= begun[:-WINDOW].copy()
+                    gone = np.cumsum(begun)[:n] > 0
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 joined = b" ".join(kept)
                 out.append((n, n - len(kept), sha256(joined).hexdigest(), joined.decode()))
             n, gone, sha, kept = zip(*out) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return verdicts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def absorb_documents(docs: DataFrame, index: FingerprintIndex, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text) of a batch against all that the index has seen; the batch joins the index."""
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    nobody = source.where("doc_id is null").withColumns({"copy": F.lit(False), "starts": F.array().cast("array<int>")})
+    return _removed(index.absorb(source.where("doc_id is not null")).union(nobody))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row: words covered by a window that also
     starts in a document with a smaller id are removed; windows are judged on the input.
 
-    Words are divided by ASCII white space.  Documents enter the index in ``batches`` by ascending id.  A text
-    that equals one of a smaller id loses all its words if it has a window, and is left out of the comparison
-    of windows: nothing else can depend on it.  Null and empty texts have no words; a null id neither loses words
-    nor makes others lose any; rows that repeat an id are one document; an empty table gives no rows.
+    Words are divided by ASCII white space.  Documents enter a fresh index in ``batches`` by ascending id; ``absorb_documents`` does
+    the same for batches that come one by one.  A text that equals one of a smaller id loses all its words if it has a window, and
+    is left out of the comparison of windows: nothing else can depend on it.  Null and empty texts have no words; a null id neither
+    loses words nor makes others lose any; equal windows of one id (repeated rows, repeats inside a text) stay; rows that repeat an
+    id are one document, also if their texts differ (told apart by 28 bits of a digest); very long texts are handled whole in their
+    task; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    work = Workspace(spark, "substring")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = source.where("doc_id is not null")
-    index = FingerprintIndex(work)
+    index = FingerprintIndex(Workspace(spark, "substring"))
     cuts = sorted(set(named.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / batches) for i in range(1, batches)]))).first()[0] or [])) if batches > 1 else []
+    out = []
     for low, high in zip([None, *cuts], [*cuts, None]):
-        batch = named
-        batch = batch if low is None else batch.where(F.col("doc_id") > low)
-        batch = batch if high is None else batch.where(F.col("doc_id") <= high)
-        index.absorb(_postings(batch))
-        work.release_shuffles()
-
-    digests = named.select("doc_id", F.unhex(F.md5("text")).alias("md5")).where("md5 is not null")
-    least = digests.groupBy("md5").agg(F.min("doc_id").alias("least"))
-    copies = work.write(digests.join(least, "md5").where("doc_id > least").select("doc_id").distinct(), "copies")
-    hits = _postings(named).join(index.shared().distinct(), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    hits = work.write(hits.join(copies, "doc_id", "left_anti"), "hits")
+        batch = source if low is None else named.where(F.col("doc_id") > low)
+        if high is not None:
+            batch = batch.where(F.col("doc_id").isNull() | (F.col("doc_id") <= high))
+        out.append(absorb_documents(batch, index))
+    index.drop_search()
     index.close()
-    work.release_shuffles()
-    windows = work.write(_candidates(named.join(hits, "doc_id")), "windows")
-    work.release_shuffles()
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    repeated = windows.join(first, "window").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
-    marks = work.write(repeated.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True), "marks")
-    work.drop("windows")
-    work.drop("hits")
-    work.release_shuffles()
-    merged = marks.groupBy("doc_id").agg(F.max("copy").alias("copy"), F.first("windows", ignorenulls=True).alias("windows"))
-    return _removed(source.join(merged, "doc_id", "left"))
+    return reduce(DataFrame.union, out)

@@ -44,7 +44,7 @@ def corpus(seed=1):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, class string, label int").repartition(7)
+    return spark.createDataFrame([(*r, "x", 3, 4, 5, 6) for r in rows], "doc_id long, text string, class string, label int, copy int, digest int, shingles int").repartition(7)
 
 
 def shingles(text):
@@ -168,22 +168,50 @@ def test_substring_dedup_odd_rows(spark):
     assert substring_dups.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_index_runs_are_compacted(spark):
-    work = Workspace(spark, "test")
-    index = substring_dups.FingerprintIndex(work, fan_in=3)
-    want = collections.defaultdict(set)
-    for batch in ([(1, 5), (2, 5)], [(1, 9), (3, 4)], [(4, 1), (4, 2)], [(2, 5), (5, 1)]):
-        index.absorb(spark.createDataFrame(batch, "fp long, doc_id long"))
-        for fp, d in batch:
-            want[fp].add(d)
-        assert len(index.runs) < 3
-    index.compact()
-    rows = {r["fp"]: (r["first"], r["several"]) for r in index._table(index.runs[0]).collect()}
-    assert {k: v[0] for k, v in rows.items()} == {k: min(v) for k, v in want.items()}
-    assert all(rows[k][1] for k, v in want.items() if len(v) > 1)
+def test_index_takes_batch_after_batch(spark, tmp_path):
+    rows = corpus(6)
+    long = [f"long{i % 30_000}" for i in range(60_000)]
+    rows += [(9000, " ".join(long)), (9001, " ".join(["x", *long[20_000:20_040], "y"]))]
+    rows += [(9100, "two texts " + rows[60][1]), (9100, rows[60][1]), (9200, "more two texts " + rows[60][1])]
+    order = lambda rs: sorted(rs, key=str)
+    named = lambda i: f"file://{tmp_path}/index{i}"
+    for k, split in enumerate((lambda i, n: i * 5 // n, lambda i, n: 2 - i * 3 // n)):  # ascending ids, descending ids
+        seen = []
+        for batch in range(5 - 2 * k):
+            part = [r for i, r in enumerate(rows) if split(i, len(rows)) == batch]
+            seen += part
+            index = substring_dups.FingerprintIndex.open(spark, named(k), fan_in=3)
+            got = [tuple(r) for r in substring_dups.absorb_documents(frame(spark, part), index).collect()]
+            assert all(len(index.runs[kind]) < 3 for kind in ("fps", "windows", "digests")) and len(index.runs["texts"]) == batch + 1
+            want = order(without_repeated_ids(seen))
+            assert order(got) == [w for w in want if w[0] in {r[0] for r in part}]
+            if k == 0 and batch == 4:
+                assert order(tuple(r) for r in substring_dups._removed(index.verdicts()).collect()) == [w for w in want if w[0] is not None]
+            index.close()
+    index = substring_dups.FingerprintIndex.open(spark, named(0))
+    assert index.version >= 5
+    again = substring_dups.absorb_documents(frame(spark, [(99_999, " ".join(long[100:150]))]), index)
+    with substring_dups._sorted_scans(spark):
+        plan = index._table(index.runs["fps"][0]).hint("merge").join(index._table(index.runs["fps"][-1]), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert again.first()["n_removed"] == 50 and "Exchange" not in plan and "Sort " not in plan
     index.close()
 
 
+def without_repeated_ids(rows):
+    """As without_repeats, for rows that may repeat an id."""
+    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    first = {}
+    for i, w in sorted(words):
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), i)
+    out = []
+    for i, w in words:
+        gone = {p + k for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for k in range(13)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), sha256(kept.encode()).hexdigest(), kept))
+    return out
+
+
 def test_line_spread(spark):
     rng = random.Random(6)
     lines = ["one two three", " one two three\t", "two words", "rare line is here", "", "edge line at four sites"]
