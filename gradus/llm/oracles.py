@@ -8,7 +8,7 @@ _WS = "[\\x20\\x09-\\x0D]"
 
 
 def _normalised(column: str) -> str:
-    return f"string_split(trim(regexp_replace(lower(coalesce({column}, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ')"
+    return f"list_filter(string_split(trim(regexp_replace(lower(coalesce({column}, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' '), lambda x: x <> '')"
 
 
 ORACLES: dict[str, str] = {
@@ -29,15 +29,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
        md5(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_md5
 FROM marked GROUP BY doc_id""",
     "op6_decontamination": f"""
-WITH d AS (SELECT doc_id, {_normalised('text')} AS words FROM documents), b AS (SELECT item_id, {_normalised('text')} AS words FROM benchmark
+WITH d AS (SELECT doc_id, {_normalised('text')} AS words FROM documents
+), b AS (SELECT item_id, words, least(len(words), 13) AS size, least(len(words), 13) - 2 * least(len(words), 13) // 13 AS need FROM (SELECT item_id, {_normalised('text')} AS words FROM benchmark)
 ), dw AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p, len(words) AS n FROM d
-), bw AS (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS q, len(words) AS m FROM b
-), same AS (SELECT doc_id, item_id, p - q AS shift, q, n, m FROM dw JOIN bw USING (word)
-), dense AS (SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= 11
-), starts AS (SELECT DISTINCT doc_id, item_id, shift, q - k AS start, n, m FROM dense, range(13) r(k)
-), good AS (SELECT s.doc_id, s.item_id, s.shift, s.start FROM starts s JOIN dense d ON d.doc_id = s.doc_id AND d.item_id = s.item_id AND d.shift = s.shift AND d.q BETWEEN s.start AND s.start + 12
-  WHERE s.start >= 1 AND s.start + 12 <= s.m AND s.start + s.shift >= 1 AND s.start + s.shift + 12 <= s.n GROUP BY ALL HAVING count(*) >= 11
-), covered AS (SELECT doc_id, item_id, shift, count(DISTINCT start + k) AS words FROM good, range(13) r(k) GROUP BY 1, 2, 3
+), bw AS (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS q, len(words) AS m, size, need FROM b
+), same AS (SELECT doc_id, item_id, p - q AS shift, q, n, m, size, need FROM dw JOIN bw USING (word) WHERE m >= 5 OR n = m
+), dense AS (SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= need
+), starts AS (SELECT DISTINCT doc_id, item_id, shift, q - k AS start, n, m, size, need FROM dense, range(13) r(k) WHERE k < size
+), good AS (SELECT s.doc_id, s.item_id, s.shift, s.start, s.size FROM starts s JOIN dense d ON d.doc_id = s.doc_id AND d.item_id = s.item_id AND d.shift = s.shift AND d.q BETWEEN s.start AND s.start + s.size - 1
+  WHERE s.start >= 1 AND s.start + s.size - 1 <= s.m AND s.start + s.shift >= 1 AND s.start + s.shift + s.size - 1 <= s.n GROUP BY s.doc_id, s.item_id, s.shift, s.start, s.size, s.need HAVING count(*) >= s.need
+), covered AS (SELECT doc_id, item_id, shift, count(DISTINCT start + k) AS words FROM good, range(13) r(k) WHERE k < size GROUP BY 1, 2, 3
 ), found AS (SELECT doc_id, item_id, max(words) AS words FROM covered GROUP BY 1, 2
 ), by_doc AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, max(words) AS words FROM found GROUP BY 1)
 SELECT doc_id, b.doc_id IS NOT NULL AS contaminated, coalesce(item_ids, '') AS item_ids, coalesce(words, 0) AS words FROM documents LEFT JOIN by_doc b USING (doc_id)""",

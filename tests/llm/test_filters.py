@@ -97,13 +97,27 @@ def item_words(text):
     return re.sub(r"[^0-9A-Za-z\x80-\U0010ffff]", " ", (text or "").lower()).split()
 
 
+def overlap_words(w, m):
+    """The most words of item m that overlaps with w cover at one shift; 0 without an overlap."""
+    size = min(13, len(m))
+    if not m or len(m) < 5 and len(w) != len(m):
+        return 0
+    covered = collections.defaultdict(set)
+    for q in range(len(m) - size + 1):
+        for p in range(len(w) - size + 1):
+            if sum(a == b for a, b in zip(w[p : p + size], m[q : q + size])) >= size - 2 * size // 13:
+                covered[p - q] |= set(range(q, q + size))
+    return max(map(len, covered.values()), default=0)
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(9)
     say = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
-    items = [(k, " ".join(say(rng.choice([3, 6, 12, 13, 14, 30])))) for k in range(40)] + [(90, None), (None, "x y z u v w"), (91, ""), (7, " ".join(say(20)))]
+    items = [(k, " ".join(say(rng.choice([1, 3, 4, 5, 6, 7, 9, 12, 13, 14, 30])))) for k in range(60)] + [(90, None), (None, "x y z u v w"), (91, ""), (92, "?! --"), (7, " ".join(say(20)))]
+    items += [(93, items[12][1]), (12, items[12][1])]
     docs = []
-    for i in range(250):
-        w = say(rng.randint(0, 60))
+    for i in range(300):
+        w = say(rng.randint(0, 60)) if i % 3 else []
         if i % 2:
             part = item_words(rng.choice(items)[1])
             a = rng.randint(0, max(0, len(part) - 13))
@@ -114,37 +128,64 @@ def test_decontamination_equals_brute_force(spark):
             at = rng.randint(0, len(w))
             w[at:at] = [x.upper() + "," for x in part]
         docs.append((i, " ".join(w)))
-    docs += [(None, None), (900, None), (901, ""), (1, docs[1][1])]
-    want = set()
+    docs += [(None, None), (900, None), (901, ""), (1, docs[1][1]), (902, " ".join(say(60_000)) + " " + items[0][1] + " " + " ".join(item_words(items[-3][1])))]
+    want = {}
     for i, t in docs:
         w = item_words(t)
         for k, x in items:
-            m = item_words(x)
-            if k is None or x is None:
-                continue
-            if 5 <= len(m) < 13:
-                hit = any(w[p : p + len(m)] == m for p in range(len(w) - len(m) + 1))
-            else:
-                hit = any(sum(a == b for a, b in zip(w[p : p + 13], m[q : q + 13])) >= 11 for q in range(len(m) - 12) for p in range(len(w) - 12))
-            if hit:
-                want.add((i, k))
-    d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
-    b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
-    for block in (100_000, 60):
-        old, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, block
+            if k is not None and x is not None and (n := overlap_words(w[-200:] if i == 902 else w, item_words(x))):
+                want[i, k] = max(n, want.get((i, k), 0))
+    d = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in docs], "doc_id long, text string, item_id string, seed int, place int, words int").repartition(5)
+    b = spark.createDataFrame([(*r, 1, 2, 3) for r in items], "item_id long, text string, doc_id int, key int, seeds int")
+    for most in (300_000, 0):
+        old, decontaminate.BROADCAST_SEEDS = decontaminate.BROADCAST_SEEDS, most
         try:
-            got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(d, b, Workspace(spark, "t")).collect()}
+            got = {(r["doc_id"], r["item_id"]): r["words"] for r in decontaminate.find_contamination(d, b, Workspace(spark, "t")).collect()}
         finally:
-            decontaminate.BLOCK_WORDS = old
-        assert got == want
+            decontaminate.BROADCAST_SEEDS = old
+        assert got == want and {min(13, len(item_words(items[k][1]))) for _, k in want if k < 60} >= {1, 5, 7, 9, 12, 13}
     report = decontaminate.contamination_report(d, b)
     assert report.count() == len(docs) and {r["doc_id"] for r in report.where("contaminated").collect()} == {i for i, _ in want}
     assert decontaminate.contamination_report(d.limit(0), b).count() == 0 and decontaminate.contamination_report(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_with_a_million_benchmark_words(spark):
+    rng = random.Random(10)
+    items = [[f"w{rng.randint(0, 10**6)}" for _ in range(40)] for _ in range(25_000)]
+    docs = [[f"w{rng.randint(0, 10**6)}" for _ in range(150)] for _ in range(400)]
+    want = set()
+    for i in range(0, 400, 4):
+        k, a = rng.randrange(len(items)), rng.randint(0, 20)
+        part = list(items[k][a : a + 15])
+        part[3] = part[9] = "changed"
+        docs[i][50:65] = part
+        want.add((i, k))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string").repartition(8)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(d, b, Workspace(spark, "t")).collect()}
+    assert got == want
+
+
+def test_sql_of_decontamination_has_short_items(spark):
+    docs = [(1, "One two three, four five six!"), (2, "a b"), (3, "a b c"), (4, "say: seven words are here CHANGED for us now"), (5, None), (6, "--")]
+    items = [(1, "one two three four five six"), (2, "A B"), (3, "seven words are here with for us"), (4, ""), (5, "one two three four five")]
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.execute("create table benchmark (item_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", docs)
+    c.executemany("insert into benchmark values (?, ?)", items)
+    got = {r[0]: r[1:] for r in c.execute(f"select doc_id, item_ids, words from ({queries.ORACLES['op6_decontamination']})").fetchall()}
+    assert got == {1: ("1,5", 6), 2: ("2", 2), 3: ("", 0), 4: ("3", 7), 5: ("", 0), 6: ("", 0)}
+    report = decontaminate.contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: (",".join(map(str, r["item_ids"])), r["words"]) for r in report.collect()} == got
+
+
 def test_masks_cover_two_substitutions():
     kept = [{p for k in mask for at, n in [decontaminate.BLOCKS[k]] for p in range(at, at + n)} for mask in decontaminate.MASKS]
     assert all(any(not {a, b} & k for k in kept) for a in range(13) for b in range(13))
+    for length in range(1, 13):
+        blocks, masks = decontaminate.blocks_of(length)
+        assert sorted(p for at, n in blocks for p in range(at, at + n)) == list(range(length)) and len(masks) == decontaminate.allowed(length) + 1 == len(blocks)
 
 
 def test_preferences(spark):
