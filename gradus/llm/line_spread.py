@@ -12,8 +12,8 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 def line_hash(line: Column) -> Column:
-    """64-bit hash of a line without the ASCII white space at its ends."""
-    return F.xxhash64(F.btrim(line, F.lit(BLANK)))
+    """128-bit digest of a line without the ASCII white space at its ends: it alone decides what is removed."""
+    return F.unhex(F.md5(F.btrim(line, F.lit(BLANK))))
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -44,14 +44,18 @@ def estimate_spread(lines: DataFrame, sites: int) -> DataFrame:
     return sketched.where(F.col("estimate") >= sites - band).select("line", (F.col("estimate") > sites + band).alias("sure"))
 
 
-def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = 10, min_words: int = 3, copies: DataFrame | None = None) -> DataFrame:
-    """``docs`` without its boilerplate lines; all columns stay, and __n_lines and __n_removed are added.
+def remove_spread_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = 10, min_words: int = 3,
+    copies: DataFrame | None = None, counts: tuple[str, str] | None = ("__n_lines", "__n_removed"),
+) -> DataFrame:
+    """``docs`` without its boilerplate lines; all columns stay, and two ``counts`` are added: lines and removed lines.
 
     A line is what stands between ``\\n``; lines are equal if they are so without the ASCII white space at their ends.  A line
     of at least ``min_words`` words that rows of at least ``sites`` distinct sites have is removed wherever
     it stands; other lines stay as they are, empty ones too.  Null texts stay null, with no lines; null
-    sites count for no site; rows of a null id keep their lines; rows that repeat an id are treated alike;
-    an empty table stays empty.
+    sites count for no site; rows of a null id keep their lines; rows that repeat an id are treated alike; very long texts are
+    cut and put together again in their task; a line on exactly ``sites`` sites (a tie) goes; an empty table stays empty.  The
+    caller's columns travel in one struct, so their names clash with nothing, save that a column named as one of ``counts`` gives way.
 
     By default every row counts, so a text whose copies stand on that many sites loses its lines everywhere.  With ``copies``
     (doc_id), the documents that another one stands for, a document and its copies count for the one site of that other one:
@@ -64,33 +68,34 @@ def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     lines = work.write(_lines(source, min_words), "lines")
     evidence = lines if copies is None else work.write(_without_copies(source, lines, copies, min_words), "evidence")
     guessed = work.write(estimate_spread(evidence, sites), "guessed")
-    near = evidence.join(guessed.where("not sure").select("line"), "line").select("line", "site").distinct()
-    counted = near.groupBy("line").agg(F.count("site").alias("n")).where(F.col("n") >= sites).select("line")
+    # ``key`` is computed, so the pairs are shuffled again after the join: Spark can then divide the join's partition of a hot line
+    near = evidence.join(guessed.where("not sure").select("line"), "line").select(F.hex("line").alias("key"), "site").distinct()
+    counted = near.groupBy("key").agg(F.count("site").alias("n")).where(F.col("n") >= sites).select(F.unhex("key").alias("line"))
     spread = guessed.where("sure").select("line").union(counted)
-    bad = lines.where("doc_id is not null").join(spread, "line").groupBy("doc_id").agg(F.collect_set("line").alias("__bad"))
-    marked = docs.join(bad.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    columns = marked.columns
-    out_schema = marked.drop("__bad").schema.add("__n_lines", "long").add("__n_removed", "long")
+    bad = lines.where("doc_id is not null").join(spread, "line").groupBy(F.col("doc_id").alias("bad_id")).agg(F.collect_set("line").alias("bad"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    marked = rows.join(bad, F.col("id") == F.col("bad_id"), "left").select("row", "text", "bad")
+    out_schema = marked.select("row").schema.add("text", "string").add("n_lines", "long").add("n_removed", "long")
 
     def clean(batches):
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
+        from hashlib import md5
 
-        at = columns.index(text_col)
         for batch in batches:
             kept, n, gone = [], [], []
-            for text, bad in zip(batch.column(at).to_pylist(), batch.column("__bad")):
+            for text, bad in zip(batch.column("text").to_pylist(), batch.column("bad").to_pylist()):
                 lines = [] if text is None else text.split("\n")
                 n.append(len(lines))
-                if bad.is_valid and lines:
-                    marks = {x & 0xFFFFFFFFFFFFFFFF for x in bad.values.to_pylist()}
-                    left = [x for x in lines if xxh64_intdigest(x.strip(BLANK), 42) not in marks]
+                if bad and lines:
+                    marks = set(bad)
+                    left = [x for x in lines if md5(x.strip(BLANK).encode()).digest() not in marks]
                     gone.append(len(lines) - len(left))
                     text = "\n".join(left)
                 else:
                     gone.append(0)
                 kept.append(text)
-            arrays = [pa.array(kept, pa.string()) if c == text_col else batch.column(i) for i, c in enumerate(columns) if c != "__bad"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [f.name for f in out_schema])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
-    return marked.mapInArrow(clean, out_schema)
+    cleaned = marked.mapInArrow(clean, out_schema)
+    fields = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in (counts or ())]
+    return cleaned.select(*fields, *[F.col(x).alias(c) for c, x in zip(counts or (), ("n_lines", "n_removed"))])
