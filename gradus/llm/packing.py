@@ -6,10 +6,10 @@ import zlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import small_batches
+from .store import Workspace, small_batches
 
-#: Documents in a group: enough for first-fit decreasing to fill bins well, few enough for one task.
-GROUP_DOCS = 4096
+#: Pieces in a group: enough for first-fit decreasing to fill bins well, few enough for one task.
+GROUP_PIECES = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -62,32 +62,33 @@ def _pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int | Non
                 ids = np.append(np.frombuffer(raw, encoder.dtype).astype("<u4"), np.array(end, "<u4"))
                 for at in range(0, len(ids), length):
                     piece = ids[at : at + length]
-                    row += doc is None
-                    rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids), row if doc is None else 0))
+                    row += 1
+                    rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids), row))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names)
 
     return docs.mapInArrow(cut, PIECES + ", spread long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int | None = 1, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int | None = 1, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document of more than ``length`` ids is cut every ``length`` ids: whole pieces fill sequences of
-    their own, and its rest is packed like a short document.  Pieces go to groups by a seeded hash of
-    id, start and content (groups of about ``group_docs`` documents, as many as the table needs), and each group
-    runs first-fit decreasing by itself, so a task holds a bounded number of piece descriptions and never ids or texts.
+    their own, and its rest is packed like a short document.  Descriptions of pieces, a few numbers each, are written to the shared
+    folder; then they are dealt to as many groups of about ``group_pieces`` as there are, by a seeded hash of their place in that
+    table, and each group runs first-fit decreasing by itself, so a task holds a bounded number of descriptions and never ids or
+    texts, however often a row or an id is repeated and however long a text is.  Ties go by content, id and start.
     Sequence ids are unique over all groups; offsets in a sequence run from 0 without gaps.
 
     Null texts are empty: the end id alone is packed (nothing, if ``end_id`` is None).  Null ids and
-    repeated rows are packed like any other row; rows of a null id are spread by their position, and only
-    equal rows of one id share a group.  An empty table gives no rows; other columns are not read.
+    repeated rows are packed like any other row.  An empty table gives no rows; other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
+    work = Workspace(docs.sparkSession, "packing")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    groups = max(1, -(-source.count() // group_docs))
-    pieces = _pieces(source, tokenizer_path, length, end_id)
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "spread", F.lit(seed)), F.lit(groups)))
+    pieces = work.write(_pieces(source, tokenizer_path, length, end_id), "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("spread", F.lit(seed)), F.lit(groups)))
 
     def fill(key, rows):
         rows = rows.sort_values(["length", "ids_crc32", "doc_id", "start"], ascending=[False, True, True, True], kind="stable", na_position="first")

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.llm.queries import tokenizer_path
 from gradus.llm.tokens import UnitCounter, UnitEncoder
@@ -105,7 +106,7 @@ def test_packing(spark):
     docs, rows = odd_docs(spark)
     path = tokenizer_path("byte_bpe_50k.json")
     e = UnitEncoder(path)
-    got = pack(docs, path, group_docs=3).toPandas()
+    got = pack(docs, path, group_pieces=3).toPandas()
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
@@ -118,6 +119,38 @@ def test_packing(spark):
     assert pack(docs.limit(0), path).count() == 0
 
 
+def test_groups_of_pieces_are_bounded(spark):
+    from gradus.llm.packing import pack
+
+    docs = spark.createDataFrame([(7, "the same row")] * 3000 + [(8, "long text " * 30_000)], "doc_id long, text string").repartition(3)
+    got = pack(docs, tokenizer_path("byte_bpe_50k.json"), group_pieces=500)
+    sizes = [r["n"] for r in got.groupBy(F.shiftright("sequence_id", 32).alias("group")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 7 and max(sizes) < 700
+
+
+def test_queries_equal_the_library_on_all_documents(spark, sf_dir):
+    from tokenizers import Tokenizer
+    import sentencepiece
+
+    from gradus.llm import queries
+
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    ids = {i: e.ids for (i, _), e in zip(docs, Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode_batch([t for _, t in docs], add_special_tokens=False))}
+    crc = lambda xs: zlib.crc32(np.array(xs, "<u4").tobytes())
+    start, want = 0, []
+    for i, _ in docs:
+        own = [*ids[i], 0]
+        want.append((i, start, len(own), crc(own)))
+        start += len(own)
+    assert sorted(tuple(r)[:4] for r in queries.op2_token_records(spark, sf_dir).collect()) == want
+    pieces = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in queries.op4_packing(spark, sf_dir).collect())
+    whole = {i: [*x, 1] for i, x in ids.items()}
+    assert pieces == sorted((i, at, len(x[at : at + 2048]), crc(x[at : at + 2048]), len(x)) for i, x in whole.items() for at in range(0, len(x), 2048))
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    counts = {i: len(x) for (i, _), x in zip(docs, model.encode([t for _, t in docs]))}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op5_token_counts(spark, sf_dir).collect()} == {i: (len(t.encode()), counts[i], counts[i] > 4096) for i, t in docs}
+
+
 def test_first_fit_decreasing_takes_the_leftmost_bin():
     from gradus.llm.packing import first_fit_decreasing
 
