@@ -122,15 +122,17 @@ def _hidden(members: DataFrame, sets: DataFrame, percent: int, work: Workspace)
     """
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     e, d, n = F.array_except("sa", "sb"), F.array_except("sb", "sa"), F.size("sb")
-    rows = members.join(other, "b").select("a", "b", "label", n.alias("n"), F.size(e).alias("e"), F.size(d).alias("d"), F.concat(e, d).alias("difference"))
+    # a family is one text of its leader, a row one text of a member: ids may repeat with other texts
+    row, family = F.xxhash64("a", "sa").alias("row"), F.xxhash64("b", "sb").alias("b")
+    rows = members.join(other, "b").select("a", row, family, "label", n.alias("n"), F.size(e).alias("e"), F.size(d).alias("d"), F.concat(e, d).alias("difference"))
     rows = work.write(rows.withColumn("g", percent * (F.col("n") + F.col("e")) - 100 * (F.col("n") - F.col("d"))), "differences")
     bounds = rows.groupBy("b").agg(F.min("g").alias("least"), F.min(F.when(F.col("g") > 0, F.col("g"))).alias("least_unlinked")).where("least_unlinked is not null")
     bounded = rows.join(bounds, "b")
     partner = F.when(F.col("g") > 0, F.col("least")).otherwise(F.col("least_unlinked"))
     needed = F.greatest(F.lit(1), F.ceil((F.col("g") + partner + (100 - percent) * F.col("n")) / F.lit(100 + percent)))
-    long = bounded.withColumn("prefix", F.col("e") + F.col("d") - needed + 1).where("prefix > 0").select("a", "b", "label", "n", "e", "d", "g", "prefix", F.explode("difference").alias("s"))
+    long = bounded.withColumn("prefix", F.col("e") + F.col("d") - needed + 1).where("prefix > 0").select("a", "row", "b", "label", "n", "e", "d", "g", "prefix", F.explode("difference").alias("s"))
     spread = long.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    ranked = long.join(spread, ["b", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("b", "a").orderBy("df", "s")))
+    ranked = long.join(spread, ["b", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("b", "row").orderBy("df", "s")))
     firsts = work.write(ranked.where("place <= prefix and lo <> hi").select("b", "s", "a", "label", "n", "e", "d", "g", (F.col("e") + F.col("d") - F.col("place")).alias("rest")), "prefixes")
     own = ("a", "label", "n", "e", "d", "g", "rest")
     left, right = (firsts.select("b", "s", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "xy")
@@ -155,7 +157,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     So no bucket is capped, no group emits all its pairs, and every pair that a table holds is decided.
     Null and empty texts have no shingles and are linked with nothing.  Rows that repeat an id are one document,
-    of the union of their links.  A null id gets a null component and null ``kept``.  An empty table gives no rows.
+    of the union of their links, also if their texts differ.  A null id gets a null component and null ``kept``.  Very long texts are
+    hashed whole, 2048 shingles at a time; of equal documents (ties) the smallest id is kept.  An empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -171,7 +175,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = tables.join(least, "key").select("rep", "leader").distinct()
     partners = work.write(stars.groupBy("rep").agg(F.array_distinct(F.filter(F.collect_list("leader"), lambda x: x != F.col("rep"))).alias("partners")), "partners")
     with_text = source.join(partners.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = work.write(_sets(with_text), "sets").dropDuplicates(["doc_id"])
+    sets = work.write(_sets(with_text), "sets").dropDuplicates(["doc_id", "shingles"])
     work.release_shuffles()
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -181,21 +185,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pairs.join(other, "b").where(both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
     star_pairs = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.explode("partners").alias("b"))
-    links = work.write(verified(star_pairs), "links")
+    # texts of one id are one document
+    known = features.where("n_shingles > 0 and doc_id is not null")
+    several = known.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("doc_id")
+    own = known.join(several, "doc_id", "left_semi").select("doc_id", "class").distinct().join(reps.select("class", "rep"), "class").select("doc_id", "rep")
+    same = own.groupBy("doc_id").agg(F.min("rep").alias("b")).join(own, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    links = work.write(verified(star_pairs).union(same), "links")
     labels = work.write(components(links, work, "first"), "labels")
 
+    # whether a leader's members differ is aggregated before it meets the leader, so one with many members is no hot row of the join
     label_of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    families = star_pairs.select("a", "b").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
-    families = families.select("a", "b", F.coalesce("a_label", "a").alias("label"), F.coalesce("b_label", "b").alias("own"))
-    mixed = families.groupBy("b").agg(F.least(F.min("label"), F.min("own")).alias("lo"), F.greatest(F.max("label"), F.max("own")).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 1")
-    members = work.write(families.join(mixed.select("b"), "b", "left_semi").select("a", "b", "label"), "members")
+    families = star_pairs.select("a", "b").join(label_of("a"), "a", "left").select("a", "b", F.coalesce("a_label", "a").alias("label"))
+    spread = families.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).join(label_of("b"), "b", "left")
+    own = F.coalesce("b_label", "b")
+    mixed = spread.where((F.least("lo", own) != F.greatest("hi", own)) & (F.col("n") > 1)).select("b")
+    members = work.write(families.join(mixed, "b", "left_semi"), "members")
     if not members.isEmpty():
         more = verified(_hidden(star_pairs.join(members, ["a", "b"]), sets, percent, work).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
         links = work.write(links.union(more), "all-links")
         labels = work.write(components(links, work, "second"), "all-labels")
     for name in ("tables", "partners", "sets", "links", "members", "differences", "prefixes"):
         work.drop(name)  # the result reads features, classes and labels only
-    repeated = features.where("n_shingles > 0 and doc_id is not null").join(reps.select("class", "rep"), "class").select("doc_id", "rep")
+    repeated = known.join(reps.select("class", "rep"), "class").select("doc_id", "rep")
     placed = repeated.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component"))
     out = features.join(placed, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
