@@ -12,7 +12,7 @@ manifest lists:
 * ``marks``: the places of the windows that start in a smaller document, by document.
 
 A batch is merge-joined with the runs, which are neither shuffled nor sorted again, and adds runs of its own; at ``FAN_IN`` runs of a
-kind they are compacted into one.  Fingerprints only choose candidates; the verdict is over digests of the candidates' words.
+kind the next batch first compacts two of them into one.  Fingerprints only choose candidates; the verdict is over digests of the candidates' words.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ GOLD, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SALTS = 16
 #: Columns of each kind of run, and how many of the first are its key.
 KINDS = {
-    "digests": ("digest binary, first long", 1),
+    "digests": ("digest binary, first long, last long", 1),
     "fps": ("fp long, first long, several boolean, promoted long", 1),
     "windows": ("wa long, wb long, first long, last long", 2),
     "texts": ("doc_id long, text string, copy boolean, tag long", 1),
-    "marks": ("doc_id long, tag long, starts array<int>", 1),
+    "marks": ("doc_id long, places array<long>", 1),
 }
 
 
@@ -121,7 +121,7 @@ class FingerprintIndex:
             by = [c.split()[0] for c in columns.split(", ")][:keys]
             table = f"gradus_{uuid.uuid4().hex}"
             typed = columns.replace(" long", " bigint")
-            self.spark.sql(f"CREATE TABLE {table} ({typed}) USING parquet CLUSTERED BY ({by[0]}) SORTED BY ({', '.join(by)}) INTO {self.buckets} BUCKETS LOCATION '{self.work.path(name)}'")
+            self.spark.sql(f"CREATE TABLE {table} ({typed}) USING parquet CLUSTERED BY ({', '.join(by)}) SORTED BY ({', '.join(by)}) INTO {self.buckets} BUCKETS LOCATION '{self.work.path(name)}'")
             self._tables[name] = table
         return self.spark.table(self._tables[name])
 
@@ -129,13 +129,15 @@ class FingerprintIndex:
         """A run as files: joins with it shuffle both sides, so Spark can divide hot keys."""
         return self.spark.read.schema(KINDS[name.split("-")[0]][0]).parquet(self.work.path(name))
 
-    def _store(self, kind: str, df: DataFrame) -> str:
+    def _store(self, kind: str, df: DataFrame, merged: bool = False) -> str:
+        """Writes a run; ``merged`` rows come from a merge join of runs, so each task holds a bucket already."""
         columns, keys = KINDS[kind]
         names = [c.split()[0] for c in columns.split(", ")]
         name, table = f"{kind}-{uuid.uuid4().hex}", f"gradus_{uuid.uuid4().hex}"
-        dealt = df.select(*names).repartition(self.buckets, names[0]).sortWithinPartitions(*names[:keys])
+        key = names[:keys]
+        dealt = df.select(*names) if merged else df.select(*names).repartition(self.buckets, *key).sortWithinPartitions(*key)
         with _sorted_scans(self.spark):
-            dealt.write.bucketBy(self.buckets, names[0]).sortBy(*names[:keys]).option("path", self.work.path(name)).saveAsTable(table)
+            dealt.write.bucketBy(self.buckets, *key).sortBy(*key).option("path", self.work.path(name)).saveAsTable(table)
         self._tables[name] = table
         return name
 
@@ -150,29 +152,33 @@ class FingerprintIndex:
         return new, found
 
     def absorb(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch (doc_id, text) of no null ids and returns its verdict: doc_id, text, copy, starts.
+        """Adds a batch (doc_id, text) of no null ids and returns its verdict: doc_id, text, copy, tag, places.
 
-        ``copy`` says that a smaller document, of this batch or an earlier one, has the same text; ``starts`` has the words at which
-        windows begin that also start in a smaller document.  Earlier batches are read through runs only.  The verdict is over the batch
+        ``copy`` says that a smaller document, of this batch or an earlier one, has the same text; ``places`` has, with the text's tag
+        in their upper half, the words at which windows begin that also start in a smaller document.  Earlier batches are read through runs only.  The verdict is over the batch
         and all before it; a later batch does not change it, so batches should come by ascending id where ids decide who is first.
         """
+        if len(self.runs["fps"]) >= self.fan_in:
+            self.compact(self.fan_in)
         work, tmp = self.work, f"tmp-{uuid.uuid4().hex}"
         digest = F.unhex(F.md5("text"))
         rows = batch.where("text is not null").select("doc_id", digest.alias("digest"))
-        new, known = self._known(rows.groupBy("digest").agg(F.min("doc_id").alias("first")), "digests", ["digest"], ["first"])
-        added = {"digests": self._store("digests", new.withColumn("first", F.least("first", *known["first"], F.lit(None))))}
-
-        salted = lambda df, salt: df.withColumn("salt", salt)
-        least = salted(self._plain(added["digests"]), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        copies = salted(rows, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(least, ["digest", "salt"]).where("doc_id > first")
-        copies = work.write(copies.select("doc_id", "digest").distinct(), f"{tmp}-copies").select(F.col("doc_id").alias("copy_id"), F.col("digest").alias("copy_digest"))
+        least, most = F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
+        new, known = self._known(rows.groupBy("digest").agg(least, most), "digests", ["digest"], ["first", "last"])
+        added = {"digests": self._store("digests", new.select("digest", F.least("first", *known["first"], F.lit(None)).alias("first"), F.greatest("last", *known["last"], F.lit(None)).alias("last")))}
+
+        # the smallest document of a text that several have is sent to SALTS parts of their rows
+        several = self._plain(added["digests"]).where("first < last").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        copies = salted.join(several, ["digest", "salt"]).where("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("digest").alias("copy_digest")).distinct()
         tag = F.coalesce(F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("long"), F.lit(0))
-        texts = batch.join(copies, (F.col("doc_id") == F.col("copy_id")) & ~(digest != F.col("copy_digest")), "left")
+        # joined by id alone, as the run is dealt by it: texts are shuffled once
+        texts = batch.join(copies, (F.col("doc_id") == F.col("copy_id")) & F.array_contains(F.array("copy_digest"), digest), "left")
         added["texts"] = self._store("texts", texts.select("doc_id", "text", F.col("copy_id").isNotNull().alias("copy"), tag.alias("tag")))
         work.release_shuffles()
 
         postings = work.write(_postings(self._plain(added["texts"]).where("not copy").select("doc_id", "text")), f"{tmp}-postings")
-        new, known = self._known(postings.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "fps", ["fp"], ["first", "several"])
+        new, known = self._known(postings.groupBy("fp").agg(least, most), "fps", ["fp"], ["first", "several"])
         old_first = F.least(*known["first"], F.lit(None), F.lit(None)).cast("long")
         old_several = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in known["several"]], F.lit(False))
         several = (F.col("first") != F.col("last")) | old_several | F.coalesce(old_first != F.col("first"), F.lit(False))
@@ -182,55 +188,57 @@ class FingerprintIndex:
 
         fresh = self._plain(added["fps"]).where("several")
         hits = postings.join(fresh.select("fp"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-        hits = work.write(hits, f"{tmp}-hits")
-        promoted = work.write(fresh.where("promoted is not null").groupBy(F.col("promoted").alias("doc_id")).agg(F.collect_set("fp").alias("fps")), f"{tmp}-promoted")
         found = [self._table(added["texts"]).where("not copy").join(hits, "doc_id")]
+        promoted = fresh.where("promoted is not null")
         if self.runs["texts"] and not promoted.isEmpty():
-            found += [self._table(name).where("not copy").join(promoted, "doc_id") for name in self.runs["texts"]]
+            wanted = promoted.groupBy(F.col("promoted").alias("doc_id")).agg(F.collect_set("fp").alias("fps"))
+            found += [self._table(name).where("not copy").join(wanted, "doc_id") for name in self.runs["texts"]]
         with _sorted_scans(self.spark):
             windows = work.write(reduce(DataFrame.union, [_windows(x.select("doc_id", "tag", "text", "fps")) for x in found]), f"{tmp}-windows")
         work.release_shuffles()
 
         key = ["wa", "wb"]
-        new, known = self._known(windows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "windows", key, ["first", "last"])
+        new, known = self._known(windows.groupBy(*key).agg(least, most), "windows", key, ["first", "last"])
         added["windows"] = self._store("windows", new.select(*key, F.least("first", *known["first"], F.lit(None)).alias("first"), F.greatest("last", *known["last"], F.lit(None)).alias("last")))
         work.release_shuffles()
         shared = self._plain(added["windows"]).where("first < last").select(*key, "first")
-        marks = windows.join(shared, key).where("doc_id > first").groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))
+        marks = windows.join(shared, key).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
         added["marks"] = self._store("marks", marks)
         for kind, name in added.items():
             self.runs[kind].append(name)
         self._commit()
-        for name in ("copies", "postings", "hits", "promoted", "windows"):
+        for name in ("postings", "windows"):
             work.drop(f"{tmp}-{name}")
         work.release_shuffles()
-        if len(self.runs["fps"]) >= self.fan_in:
-            self.compact()
         return self._verdict(added["texts"], added["marks"])
 
     def _verdict(self, texts: str, marks: str) -> DataFrame:
-        mark = self._table(marks).select(F.col("doc_id").alias("mark_id"), F.col("tag").alias("mark_tag"), "starts")
-        out = self._table(texts).join(mark.hint("merge"), (F.col("doc_id") == F.col("mark_id")) & ~(F.col("tag") != F.col("mark_tag")), "left")
-        return out.select("doc_id", "text", "copy", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+        out = self._table(texts).join(self._table(marks).hint("merge"), "doc_id", "left")
+        return out.select("doc_id", "text", "copy", "tag", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
 
     def verdicts(self) -> DataFrame:
         """The verdicts of all batches so far, each as it was given."""
         return reduce(DataFrame.union, [self._verdict(*pair) for pair in zip(self.runs["texts"], self.runs["marks"])])
 
-    def compact(self) -> None:
-        """Merges all runs of a kind into one, commits that and deletes the merged ones.  Texts are a log and stay."""
-        least, most = F.min("first").alias("first"), F.max("last").alias("last")
-        merged = {
-            "digests": (["digest"], [least]), "windows": (["wa", "wb"], [least, most]),
-            "fps": (["fp"], [least, (F.max("several") | (F.min("first") != F.max("first"))).alias("several"), F.lit(None).cast("long").alias("promoted")]),
-        }
+    def compact(self, most: int = 2) -> None:
+        """Merges the last two runs of a kind, bucket by bucket without a shuffle, while it has ``most`` or more; commits that and
+        deletes the merged ones.  Texts and marks are logs and stay."""
         old = []
-        for kind, (key, measures) in merged.items():
-            if len(self.runs[kind]) > 1:
-                every = reduce(DataFrame.union, [self._plain(name) for name in self.runs[kind]])
-                old += self.runs[kind]
-                self.runs[kind] = [self._store(kind, every.groupBy(*key).agg(*measures))]
-                self.work.release_shuffles()
+        for kind in ("digests", "fps", "windows"):
+            while len(self.runs[kind]) >= most:
+                *rest, a, b = self.runs[kind]
+                columns, keys = KINDS[kind]
+                names = [c.split()[0] for c in columns.split(", ")]
+                left, right = self._table(a), self._table(b).select(*[F.col(c).alias(f"{c}_") for c in names])
+                both = left.join(right.hint("merge"), reduce(lambda x, y: x & y, [F.col(c) == F.col(f"{c}_") for c in names[:keys]]), "full")
+                made = {c: F.coalesce(c, f"{c}_") for c in names[:keys]} | {"first": F.least("first", "first_")}
+                if kind != "fps":
+                    made["last"] = F.greatest("last", "last_")
+                if kind == "fps":
+                    made["several"] = F.coalesce("several", F.lit(False)) | F.coalesce("several_", F.lit(False)) | F.coalesce(F.col("first") != F.col("first_"), F.lit(False))
+                    made["promoted"] = F.lit(None).cast("long")
+                old += [a, b]
+                self.runs[kind] = [*rest, self._store(kind, both.select(*[x.alias(c) for c, x in made.items()]), merged=True)]
         if old:
             self._commit()
         for name in old:
@@ -255,24 +263,42 @@ class FingerprintIndex:
             self.runs[kind] = []
 
 
+def _batch_words(texts):
+    """(words of all texts in a row, text of each word, text of each window, whether the window lies in that text)."""
+    import numpy as np
+
+    words, sizes = [], []
+    for text in texts:
+        found = (text.as_py() or "").encode().split()
+        words += found
+        sizes.append(len(found))
+    sizes = np.array(sizes, np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    count = max(0, len(words) - WINDOW + 1)
+    fits = of[:count] == of[len(words) - count :]
+    return words, of, of[:count], fits
+
+
 def _postings(docs: DataFrame) -> DataFrame:
+    """(fp, doc_id): a document's fingerprints, of neighbouring windows once."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found, ids = [], batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for text in batch.column("text"):
-                found.append(np.unique(fingerprints(_word_hashes((text.as_py() or "").encode().split()))))
-            rows = [len(x) for x in found]
-            fps = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(np.repeat(ids, rows).astype(np.int64))], ["fp", "doc_id"])
+            words, _, of, fits = _batch_words(batch.column("text"))
+            fps = fingerprints(_word_hashes(words))
+            new = fits.copy()
+            new[1:] &= (fps[1:] != fps[:-1]) | ~fits[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(fps[new]), batch.column("doc_id").take(pa.array(of[new]))], ["fp", "doc_id"])
 
     return docs.mapInArrow(run, "fp long, doc_id long")
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """(wa, wb, doc_id, tag, start): place and 128-bit digest of the words of every window whose fingerprint is in the row's list ``fps``."""
+    """(wa, wb, doc_id, place): place (the tag in its upper half) and 128-bit digest of the words of every window whose fingerprint is
+    in a list ``fps`` of the batch.  A list has all shared fingerprints of its document, so lists of other documents add nothing."""
 
     def run(batches):
         import numpy as np
@@ -280,22 +306,20 @@ def _windows(docs: DataFrame) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            digests, starts, rows = [], [np.zeros(0, np.int64)], []
-            for text, fps in zip(batch.column("text"), batch.column("fps")):
-                words = (text.as_py() or "").encode().split()
-                at = np.flatnonzero(np.isin(fingerprints(_word_hashes(words)), fps.values.to_numpy()))
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                begins = np.concatenate([[0], ends[:-1]]) if len(words) else ends
-                digests += [xxh3_128_digest(joined[a:b]) for a, b in zip(begins[at].tolist(), (ends[at + WINDOW - 1] - 1).tolist())]
-                starts.append(at)
-                rows.append(len(at))
+            words, all_of, of, fits = _batch_words(batch.column("text"))
+            wanted = batch.column("fps").flatten().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(fits & np.isin(fingerprints(_word_hashes(words)), wanted))
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            begins = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
+            digests = [xxh3_128_digest(joined[a:b]) for a, b in zip(begins[at].tolist(), (ends[at + WINDOW - 1] - 1).tolist())]
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            again = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), rows).astype(np.int64))  # noqa: E731, B023
-            columns = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), again("doc_id"), again("tag"), pa.array(np.concatenate(starts).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["wa", "wb", "doc_id", "tag", "start"])
+            first = np.searchsorted(all_of, np.arange(batch.num_rows))  # of each text's words
+            tags = batch.column("tag").to_numpy()
+            places = at - first[of[at]] + (tags[of[at]] << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column("doc_id").take(pa.array(of[at])), pa.array(places)], ["wa", "wb", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "wa long, wb long, doc_id long, tag long, start int")
+    return docs.mapInArrow(run, "wa long, wb long, doc_id long, place long")
 
 
 def _removed(verdicts: DataFrame) -> DataFrame:
@@ -306,13 +330,14 @@ def _removed(verdicts: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for text, copy, starts in zip(batch.column("text"), batch.column("copy").to_pylist(), batch.column("starts")):
+            for text, copy, tag, places in zip(batch.column("text"), batch.column("copy").to_pylist(), batch.column("tag").to_pylist(), batch.column("places")):
                 words = (text.as_py() or "").encode().split()
                 n, kept = len(words), words
                 if copy and n >= WINDOW:
                     kept = []
-                elif len(starts.values):
-                    begun = np.bincount(starts.values.to_numpy(), minlength=n + WINDOW).astype(bool).astype(np.int64)
+                elif len(places.values):
+                    at = places.values.to_numpy()
+                    begun = np.bincount(at[at >> 32 == tag] & 0xFFFFFFFF, minlength=n + WINDOW).astype(bool).astype(np.int64)
                     begun[WINDOW:] -= begun[:-WINDOW].copy()
                     gone = np.cumsum(begun)[:n] > 0
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
@@ -328,7 +353,7 @@ def absorb_documents(docs: DataFrame, index: FingerprintIndex, *, id_col: str =
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of a batch against all that the index has seen; the batch joins the index."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    nobody = source.where("doc_id is null").withColumns({"copy": F.lit(False), "starts": F.array().cast("array<int>")})
+    nobody = source.where("doc_id is null").withColumns({"copy": F.lit(False), "tag": F.lit(0).cast("long"), "places": F.array().cast("array<long>")})
     return _removed(index.absorb(source.where("doc_id is not null")).union(nobody))
 
 
