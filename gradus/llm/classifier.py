@@ -1,5 +1,9 @@
 """Quality classifier: logistic regression on hashed word 1- and 2-grams, trained with follow-the-regularised-leader
-updates (FTRL-proximal) and scored as sparse dot products."""
+updates (FTRL-proximal) and scored as sparse dot products.
+
+Words are lower-cased; ASCII punctuation marks are words of their own, all digits are written as 0, and a word that repeats one of
+the two before it is written as one repeat mark, so that n-grams of marks, numbers and repetitions are shared by all texts.
+"""
 
 from __future__ import annotations
 
@@ -13,83 +17,75 @@ from .store import small_batches
 @dataclass(frozen=True)
 class FtrlConfig:
     """``max_rows`` bounds the labelled rows that the fit reads (a seeded hash of the id chooses them when
-    there are more); of over ``shard_rows`` rows, models trained on disjoint shards are averaged."""
+    there are more); of over ``shard_rows`` rows or ``shard_bytes`` of text, models trained on disjoint shards are averaged.
+    Both labels weigh alike in training, whatever their shares, so a score of 0.5 is even evidence."""
 
     bits: int = 18
-    alpha: float = 0.1
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 0.2
-    l2: float = 1.0
-    epochs: int = 5
+    l1: float = 0.02
+    l2: float = 0.01
+    epochs: int = 8
     max_rows: int = 20_000
     shard_rows: int = 5_000
+    shard_bytes: int = 64_000_000
     seed: int = 11
 
 
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+_MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum()]
+
+
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-cased words with their digits as 0, and punctuation marks."""
+    raw = (text or "").lower().encode().translate(_DIGITS)
+    for mark in _MARKS:
+        if mark in raw:
+            raw = raw.replace(mark, b" " + mark + b" ")
+    return raw.split()
+
+
 def features(text: str | None, bits: int):
-    """(indices, values) of one text: index 0 is the bias; words and word pairs of whole texts are hashed, the pair
+    """(indices, values) of one text: index 0 is the bias; words and word pairs of the whole text are hashed, the pair
     orders kept; values are log(1 + count), scaled to unit length, so long and short texts weigh alike."""
     import numpy as np
     from zlib import crc32
 
-    words = np.fromiter(map(crc32, (text or "").lower().encode().split()), np.uint64)
-    mask = np.uint64((1 << bits) - 1)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    pairs = (words[:-1] * mix + words[1:]) * mix >> np.uint64(64 - bits)
-    shapes = _shapes(text)
-    hashed = np.concatenate([(words * mix >> np.uint64(64 - bits)) & mask, pairs & mask])
-    index, count = np.unique(hashed, return_counts=True)
+    words = np.fromiter(map(crc32, tokens(text)), np.uint64)
+    again = np.zeros(len(words), bool)
+    again[1:] = words[1:] == words[:-1]
+    again[2:] |= words[2:] == words[:-2]
+    words = np.where(again, np.uint64(REPEAT), words)
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
+    index, count = np.unique(np.concatenate([words * mix >> shift, (words[:-1] * mix + words[1:]) * mix >> shift]), return_counts=True)
     values = np.log1p(count)
     norm = float(np.sqrt((values * values).sum())) or 1.0
-    index = np.concatenate([index.astype(np.int64) + 1 + N_SHAPES, shapes, [0]]).astype(np.int32)
-    values = np.concatenate([values / norm, np.ones(len(shapes)), [1.0]]).astype(np.float32)
-    return index, values
+    return np.concatenate([[0], index.astype(np.int64) + 1]).astype(np.int32), np.concatenate([[1.0], values / norm]).astype(np.float32)
 
 
-#: Hashed n-grams of word shapes share the table; see _shapes.
-N_SHAPES = 4096
+#: What stands for a word that repeats one of the two before it.
+REPEAT = 1
 
 
-def _shapes(text: str | None):
-    """Indices (from 1) of n-grams over coarse word shapes: each word becomes a class by what it ends in and whether it repeats
-    the word before; the frequency of each class and pair in the text is cut into powers of two.  These are still hashed
-    word n-grams, over a vocabulary that unseen words share."""
+def _train(texts, labels, weights, config: FtrlConfig, order):
     import numpy as np
 
-    words = (text or "").encode().split()
-    n = len(words)
-    if not n:
-        return np.array([1], np.int64)
-    seen = np.array([3 if w[-1:].isalpha() or w[-1] > 127 else 2 if w[-1:] in b".,;:!?" else 1 if w[-1:].isdigit() else 0 for w in words], np.int64)
-    same = np.zeros(n, np.int64)
-    same[1:] = [a == b for a, b in zip(words, words[1:])]
-    kinds = seen + 4 * same
-    pairs = 8 + kinds[:-1] * 8 + kinds[1:]
-    index, count = np.unique(np.concatenate([kinds, pairs]), return_counts=True)
-    level = np.minimum(12, np.floor(np.log2(n / np.minimum(count, n))).astype(np.int64))
-    size = min(15, int(np.log2(n)))
-    return np.concatenate([1 + 16 + index * 16 + level, [1 + size]]) % N_SHAPES + 1
-
-
-def _train(texts, labels, config: FtrlConfig, order):
-    import numpy as np
-
-    size = (1 << config.bits) + 2 + N_SHAPES
+    size = (1 << config.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     rows = [features(t, config.bits) for t in texts]
+
+    def solved(z, n):
+        return np.where(np.abs(z) <= config.l1, 0.0, -(z - np.sign(z) * config.l1) / ((config.beta + np.sqrt(n)) / config.alpha + config.l2))
+
     for epoch in range(config.epochs):
         for i in order(len(rows), epoch):
-            index, x = rows[i]
+            index, x = rows[i]  # each index once
             zi, ni = z[index], n[index]
-            root = np.sqrt(ni)
-            w = np.where(np.abs(zi) <= config.l1, 0.0, -(zi - np.sign(zi) * config.l1) / ((config.beta + root) / config.alpha + config.l2))
-            p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - labels[i]) * x
-            sigma = (np.sqrt(ni + g * g) - root) / config.alpha
-            np.add.at(z, index, g - sigma * w)
-            np.add.at(n, index, g * g)
-    w = np.where(np.abs(z) <= config.l1, 0.0, -(z - np.sign(z) * config.l1) / ((config.beta + np.sqrt(n)) / config.alpha + config.l2))
-    return w
+            w = solved(zi, ni)
+            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - labels[i]) * weights[i] * x
+            z[index] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / config.alpha * w
+            n[index] += g * g
+    return solved(z, n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", config: FtrlConfig = FtrlConfig()):
@@ -99,39 +95,46 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     more than ``max_rows`` labelled ids a seeded hash of the id keeps about that many, so the label side of
     the join has a proven bound and is broadcast: no text is shuffled but those of the sample.  Each shard is
     a group of bounded size trained in one task, in an order fixed by the hash, so the weights do not depend
-    on partitioning; the driver averages the shards' arrays, four at most by default.  Without labelled rows all weights are 0.
+    on partitioning; the driver averages the shards' arrays, which are few as the sample is bounded.  Rows that repeat an id are
+    further examples of its label; null and empty texts teach the bias alone; ties in the order go by id and text; very long texts
+    are hashed whole.  Without labelled rows all weights are 0.  Other columns, whatever their names, are not read.
     """
     import numpy as np
 
     small_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
-    total = marked.count()
+    shares = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(shares.values())
     place = F.pmod(F.xxhash64("id", F.lit(config.seed)), F.lit(1 << 30))
     if total > config.max_rows:
         marked = marked.where(place < int((1 << 30) * config.max_rows / total))
-    shards = max(1, min(total, config.max_rows) // config.shard_rows)
-    shard = F.pmod(F.xxhash64("id", F.lit(config.seed + 1)), F.lit(shards))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id")
+    even = F.lit(0.0)
+    for label, n in shares.items():
+        even = F.when(F.col("label") == label, total / (len(shares) * n)).otherwise(even)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id").withColumn("weight", even)
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards = max(1, found["rows"] // config.shard_rows, (found["bytes"] or 0) // config.shard_bytes)
+    shard = F.pmod(F.xxhash64("id", "text", F.lit(config.seed + 1)), F.lit(shards))
 
     def one(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["place", "id", "text"], na_position="first")
         order = lambda m, epoch: np.random.default_rng((config.seed, epoch)).permutation(m)
-        w = _train(pdf["text"].tolist(), pdf["label"].to_numpy(), config, order)
+        w = _train(pdf["text"].tolist(), pdf["label"].to_numpy(), pdf["weight"].to_numpy(), config, order)
         return pd.DataFrame({"rows": [len(pdf)], "w": [w.astype("<f4").tobytes()]})
 
-    parts = rows.select("id", "text", "label", place.alias("place"), shard.alias("shard")).groupBy("shard").applyInPandas(one, "rows long, w binary").collect()
+    parts = rows.select("id", "text", "label", "weight", place.alias("place"), shard.alias("shard")).groupBy("shard").applyInPandas(one, "rows long, w binary").collect()
     if not parts:
-        return np.zeros((1 << config.bits) + 2 + N_SHAPES, "<f4")
+        return np.zeros((1 << config.bits) + 1, "<f4")
     return np.average([np.frombuffer(p["w"], "<f4") for p in parts], axis=0, weights=[p["rows"] for p in parts]).astype("<f4")
 
 
 def score(docs: DataFrame, weights, *, id_col: str = "doc_id", text_col: str = "text", config: FtrlConfig = FtrlConfig()) -> DataFrame:
     """(doc_id, score) of every row: the sparse dot product of its whole text's features with the weights.
 
-    Null and empty texts get the score of the bias and the empty shape; null ids stay; repeated rows give
-    equal scores; an empty table gives no rows.  The broadcast weights have a fixed size.
+    Null and empty texts get the score of the bias; null ids stay; repeated rows give equal scores; very long texts are scored
+    whole; an empty table gives no rows; other columns, whatever their names, are not read.  The broadcast weights have a fixed size.
     """
     spark = docs.sparkSession
     small_batches(spark)
