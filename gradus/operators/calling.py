@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 
-from ..sources.providers import ROW_ERRORS, EndpointError, TransientFailure, http_responder
+from ..sources.providers import ROW_ERRORS, EndpointError, TransientFailure, client, http_responder
 
 #: Tries a call gets, and the first pause in seconds, which doubles.
 TRIES, FIRST_PAUSE, JITTER = 5, 1.5, 0.5
@@ -37,14 +37,13 @@ def call_models(pending: DataFrame, responder: Callable[[str], Callable[[dict],
 
     Rows of one key meet in one task in order of position: a later one is only called if all earlier ones failed,
     else its status is 'skipped'.  ``parallel`` bounds the tasks and so the calls at a time.  ``responder`` gives
-    a provider's callable, once per task and provider.  Errors of one call give status 'failed'; any other
+    a provider's callable, once per worker, provider and credential.  Errors of one call give status 'failed'; any other
     exception ends the job.  Write the result before using it: every evaluation calls the models anew.
     """
     columns = pending.columns
     dealt = pending.repartition(parallel, *KEY) if parallel else pending.repartition(*KEY)
 
     def run(frames):
-        clients: dict[str, Callable[[dict], dict]] = {}
         last, done = None, False
         for pdf in frames:
             out = []
@@ -56,12 +55,11 @@ def call_models(pending: DataFrame, responder: Callable[[str], Callable[[dict],
                     out.append((None, None, None, None, "skipped", None, None))
                     continue
                 try:
-                    if row["provider"] not in clients:
-                        clients[row["provider"]] = responder(row["provider"])
+                    respond = client(responder, row["provider"])
                     request = {k: row[k] for k in ("item_id", "model", "level", "prompt_condition", "prompt", "temperature")} | {"max_tokens": int(row["max_tokens"])}
                     if row["seed"] is not None and row["seed"] == row["seed"]:
                         request["seed"] = int(row["seed"])
-                    answer = with_retries(lambda: clients[row["provider"]](request), sleep=sleep)
+                    answer = with_retries(lambda: respond(request), sleep=sleep)  # noqa: B023
                     if answer.get("text") is None:
                         raise TransientFailure(f"{row['provider']} gave no choice for {row['model']}")
                     out.append((answer["text"], answer.get("input_tokens") or 0, answer.get("output_tokens") or 0, datetime.now(timezone.utc).isoformat(), "run", None, None))

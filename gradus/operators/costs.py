@@ -40,3 +40,11 @@ def project(calls: DataFrame, scale: float) -> DataFrame:
     """One row: total_calls, total_usd, unpriced and projected_usd = total_usd * scale; 0.0 for an empty log."""
     totals = calls.agg(F.count(F.lit(1)).alias("total_calls"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced"))
     return totals.withColumn("projected_usd", F.col("total_usd") * float(scale))
+
+
+def without_rate(calls: DataFrame, rates: DataFrame) -> DataFrame:
+    """(model, lacks) of every model of the log whose rate is missing ("rate") or has one side only ("input", "output")."""
+    known = rates.select(F.col("model").alias("rated"), "input", "output")
+    used = calls.select("model").distinct().join(F.broadcast(known), F.col("model").eqNullSafe(F.col("rated")), "left")
+    lacks = F.when(F.col("rated").isNull() | (F.col("input").isNull() & F.col("output").isNull()), "rate").when(F.col("input").isNull(), "input").when(F.col("output").isNull(), "output")
+    return used.select("model", lacks.alias("lacks")).where("lacks is not null")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def paired(results: DataFrame, first: str = "a", second: str = "c", keys: tuple[str, ...] = ("item_id", "model", "prompt_condition")) -> DataFrame:
@@ -52,6 +53,21 @@ def shift_gate(left: DataFrame, right: DataFrame, value: str, *, least: float |
     return joined.withColumns({"delta": delta, "passes": ok})
 
 
+def jargon_scores(texts: DataFrame, scorer, text_col: str = "text") -> DataFrame:
+    """``texts`` with ``jargon``: scorer() gives, once per task, a callable(list of texts) -> list of scores; null texts have none."""
+
+    def run(frames):
+        score = scorer()
+        for pdf in frames:
+            known = pdf[text_col].notna()
+            pdf["jargon"] = None
+            pdf.loc[known, "jargon"] = score(pdf.loc[known, text_col].tolist())
+            pdf["jargon"] = pdf["jargon"].astype("float64")
+            yield pdf
+
+    return texts.mapInPandas(run, StructType([*texts.schema.fields, StructField("jargon", DoubleType())]))
+
+
 def drop_rate(attempts: DataFrame, most: int = 3) -> DataFrame:
     """One row: items, dropped and drop_rate of regeneration attempts (item_id, attempt, passed): an item is dropped if none of its first
     ``most`` attempts passed."""

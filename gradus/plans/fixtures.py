@@ -132,3 +132,35 @@ SQL_SHARED = SQL_CALLS + """, shared AS (
 ), marked AS (
   SELECT *, row_number() OVER (PARTITION BY ts, stage, model, input_tokens, output_tokens, item_id ORDER BY person, line_no) = 1 AS kept FROM shared
 )"""
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the session's shared one, or in a temporary one where that is unset (a single local JVM, as in tests)."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gradus-")
+    return f"{root.rstrip('/')}/gradus-{name}-{uuid.uuid4().hex}"
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the shared logs as files of JSON lines, in order, with a blank and a malformed line each, and an empty log."""
+    folder = scratch(spark, "logs")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    shared = shared_logs(spark, sf_dir)
+    odd = spark.createDataFrame([(-2, "  "), (-1, "{broken")], "line_no long, value string")
+    for person in ("ana", "bo", "cy"):
+        rows = shared.where(F.col("file_name") == f"api_calls_{person}.jsonl").select("line_no", F.to_json(F.struct(*[c for c in shared.columns if c not in ("file_name", "line_no")])).alias("value"))
+        rows = rows.union(odd) if person != "cy" else rows
+        rows.orderBy("line_no").coalesce(1).select("value").write.text(f"{folder}/_{person}")
+        part = [x.getPath() for x in fs.listStatus(path(f"{folder}/_{person}")) if x.getPath().getName().startswith("part-")]
+        if part:
+            fs.rename(part[0], path(f"{folder}/api_calls_{person}.jsonl"))
+        else:
+            fs.create(path(f"{folder}/api_calls_{person}.jsonl")).close()
+    return folder

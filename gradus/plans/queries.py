@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rendering, text
-from ..operators import costs, evaluation, merging, sampling, scoring, statistics
+from .. import schemas
+from ..operators import costs, evaluation, merging, rules, sampling, scoring, statistics
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,8 +85,8 @@ def requests_of_models(spark, sf_dir):
 @query(f"""WITH {fx.SQL_ITEMS}, conditions(condition) AS (VALUES ('plain'), ('clarify_first'))
 SELECT item_id, level, condition FROM items, conditions WHERE condition <> 'clarify_first' OR level = 'c'""")
 def prompt_conditions(spark, sf_dir):
-    work = fx.items(spark, sf_dir).withColumn("condition", F.explode(F.array(F.lit("plain"), F.lit("clarify_first"))))
-    return work.where((F.col("condition") != "clarify_first") | (F.col("level") == "c")).select("item_id", "level", "condition")
+    scoped = evaluation.in_scope(fx.items(spark, sf_dir), ["plain", "clarify_first"])
+    return scoped.select("item_id", "level", F.col("prompt_condition").alias("condition"))
 
 
 @query(f"""WITH {fx.SQL_CALLS}, done AS (SELECT DISTINCT item_id, model, level, prompt_condition FROM calls WHERE event_id % 4 = 0)
@@ -122,9 +123,11 @@ def cost_projection(spark, sf_dir):
     return rounded(costs.project(fx.priced(spark, sf_dir), 12.73), "total_usd", "projected_usd")
 
 
-@query(f"WITH {fx.SQL_CALLS} SELECT DISTINCT model FROM calls WHERE model NOT IN ('m-large', 'm-small')")
+@query(f"""WITH {fx.SQL_CALLS}, rates(model, input, output) AS (VALUES ('m-large', 1.0, 2.0), ('m-small', NULL, 2.0))
+SELECT DISTINCT c.model, CASE WHEN r.model IS NULL THEN 'rate' ELSE 'input' END AS lacks FROM calls c LEFT JOIN rates r ON c.model = r.model WHERE r.input IS NULL OR r.output IS NULL""")
 def models_without_rate(spark, sf_dir):
-    return fx.priced(spark, sf_dir).where("cost_usd is null").select("model").distinct()
+    rates = spark.createDataFrame([("m-large", 1.0, 2.0), ("m-small", None, 2.0), ("unused", None, None)], schemas.RATES)
+    return costs.without_rate(fx.calls(spark, sf_dir), rates)
 
 
 @query(f"WITH {fx.SQL_SHARED} SELECT event_id, person AS _logged_by, ts, stage, model, item_id FROM marked WHERE kept")
@@ -352,6 +355,43 @@ def model_selection(spark, sf_dir):
 @query("""SELECT DISTINCT level, missing FROM (SELECT level, CASE level WHEN 'a' THEN '' WHEN 'b' THEN '{options}' ELSE '{options},{stem}' END AS missing FROM (VALUES ('a'), ('b'), ('c')) l(level))""")
 def missing_placeholders(spark, sf_dir):
     templates = spark.createDataFrame([("a", "{stem} {options}"), ("b", "{stem} {option}"), ("c", "none")], "level string, template string")
-    present = F.regexp_extract_all("template", F.lit(r"\{[a-z]+\}"), F.lit(0))
-    needed = F.array(F.lit("{options}"), F.lit("{stem}"))
-    return templates.select("level", F.array_join(F.array_except(needed, present), ",").alias("missing"))
+    return templates.select("level", F.array_join(rules.missing_placeholders(F.col("template")), ",").alias("missing"))
+
+
+@query(f"""WITH {fx.SQL_SHARED} SELECT row_number() OVER (ORDER BY coalesce(ts, ''), person, line_no) AS line_no, ts, stage, model, item_id, level, person AS _logged_by FROM marked WHERE kept""")
+def merge_log_files(spark, sf_dir):
+    """Logs as files, merged, written as one ordered log and read again."""
+    from ..sources import logs
+
+    calls, _, _ = merging.merge_logs(spark, fx.log_files(spark, sf_dir))
+    out = fx.scratch(spark, "merged")
+    logs.overwrite_log(calls, out, [F.coalesce("ts", F.lit("")), F.monotonically_increasing_id()])
+    return logs.numbered_log(spark, out, schemas.CALLS_MERGED).select("line_no", "ts", "stage", "model", "item_id", "level", "_logged_by")
+
+
+@query(f"""WITH {fx.SQL_SHARED} SELECT person, count(*) FILTER (kept) AS calls, round(coalesce(sum(cost_usd) FILTER (kept), 0), 6) AS usd,
+count(*) FILTER (kept AND cost_usd IS NULL) AS unpriced, count(*) FILTER (NOT kept) AS duplicates FROM marked GROUP BY person UNION ALL SELECT 'cy', 0, 0, 0, 0""")
+def log_files_by_person(spark, sf_dir):
+    return rounded(merging.merge_logs(spark, fx.log_files(spark, sf_dir))[1], "usd")
+
+
+@query("SELECT 'api_calls_' || person || '.jsonl' AS file_name, 2::BIGINT AS line_no, '{broken' AS malformed FROM (VALUES ('ana'), ('bo')) t(person)")
+def malformed_lines_of_files(spark, sf_dir):
+    from ..sources import logs
+
+    return logs.malformed_lines(merging.read_shared_logs(spark, fx.log_files(spark, sf_dir)))
+
+
+@query(f"""WITH {fx.SQL_RESULTS} SELECT 'results' AS log, item_id, model, level, prompt_condition FROM results UNION ALL SELECT 'parse_failures', item_id, model, level, prompt_condition FROM results WHERE predicted IS NULL""")
+def appended_logs(spark, sf_dir):
+    """Results and parse failures appended in two parts; the keys are read from the files."""
+    from ..sources import logs
+
+    staged, out = fx.outputs(spark, sf_dir).withColumn("status", F.lit("run")), fx.scratch(spark, "results")
+    for part in (staged.where("level = 'a'"), staged.where("level <> 'a'")):
+        found = evaluation.results_of(part, "0", 3)
+        logs.append_log(found, f"{out}/results")
+        logs.append_log(evaluation.failures_of(found), f"{out}/parse_failures")
+    keys = {name: logs.key_scan(spark, f"{out}/{name}", schemas.RESULT_KEY, schema) for name, schema in (("results", schemas.RESULTS), ("parse_failures", schemas.PARSE_FAILURES))}
+    results, failures = (df.select(F.lit(name).alias("log"), *schemas.RESULT_KEY) for name, df in keys.items())
+    return results.union(failures)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.answers import strip
@@ -19,6 +19,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(file_names(spark, path))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def person_of(file_name: Column) -> Column:
     """Who logged a file: its name without the extension and without every ``api_calls_``."""
     return F.replace(F.regexp_replace(file_name, r"\.jsonl$", ""), F.lit("api_calls_"), F.lit(""))
@@ -40,15 +45,18 @@ def scan_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def numbered_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """As ``scan_log``, with line_no: 1 for the first line of its file, blank lines counted.
 
-    Lines have no number in a split scan, so each file is read as one value; log files are append-only files of one person,
-    and a task holds one of them at a time.
+    Files are read in splits: lines are numbered within their split, and the counts of the splits before it, a row each, are
+    added, so a file of any size is read by many tasks.
     """
     empty = {"file_name": F.lit(None).cast("string"), "line_no": F.lit(None).cast("long"), "malformed": F.lit(None).cast("string")}
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema).withColumns(empty)
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
-    lines = whole.select("file_name", F.posexplode(F.split("value", "\n")).alias("at", "value")).select("file_name", (F.col("at") + 1).cast("long").alias("line_no"), "value")
-    return parsed_lines(lines, schema).select(*schema.fieldNames(), "file_name", "line_no", "malformed")
+    read = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = read.withColumn("place", F.monotonically_increasing_id())
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    numbered = lines.join(blocks, ["file", "block"]).select("value", "file_name", (F.col("place") - F.col("first") + F.col("before") + 1).alias("line_no"))
+    return parsed_lines(numbered, schema).select(*schema.fieldNames(), "file_name", "line_no", "malformed")
 
 
 def parsed_lines(lines: DataFrame, schema: StructType) -> DataFrame:

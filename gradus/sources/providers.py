@@ -46,10 +46,13 @@ ROW_ERRORS = (ModelNotConfigured, CredentialsMissing, EndpointError, TransientFa
 _LOCAL = "http://localhost:8000/v1"
 
 
+#: Environment variables that a provider needs.
+CREDENTIALS = {"azure_openai": ("AZURE_OPENAI_API_KEY", "AZURE_OPENAI_ENDPOINT"), "nvidia_build": ("NVIDIA_API_KEY",)}
+
+
 def missing_credential(provider: str) -> str | None:
     """What the environment lacks for the provider, if anything."""
-    needed = {"azure_openai": ("AZURE_OPENAI_API_KEY", "AZURE_OPENAI_ENDPOINT"), "nvidia_build": ("NVIDIA_API_KEY",)}.get(provider, ())
-    absent = [k for k in needed if not os.environ.get(k)]
+    absent = [k for k in CREDENTIALS.get(provider, ()) if not os.environ.get(k)]
     return f"{' and '.join(absent)} not set" if absent else None
 
 
@@ -74,6 +77,27 @@ def _endpoint(provider: str, model: str) -> tuple[str, dict[str, str]]:
     raise ValueError(f"unknown provider {provider!r}")
 
 
+def credential_of(provider: str) -> str | None:
+    """A digest of what the environment has for the provider: a client is kept as long as this stays."""
+    from hashlib import sha256
+
+    names = CREDENTIALS.get(provider, ())
+    return sha256("\n".join(os.environ.get(k, "") for k in names).encode()).hexdigest() if names else None
+
+
+_clients: dict[tuple, Callable[[dict], dict]] = {}
+
+
+def client(responder: Callable[[str], Callable[[dict], dict]], provider: str) -> Callable[[dict], dict]:
+    """The worker's callable for a provider, made anew when the responder or the credential changes."""
+    key = (responder, provider, credential_of(provider))
+    if key not in _clients:
+        for old in [k for k in _clients if k[1] == provider]:
+            del _clients[old]
+        _clients[key] = responder(provider)
+    return _clients[key]
+
+
 def http_responder(provider: str) -> Callable[[dict], dict]:
     """Calls the provider's endpoint.  Credentials are looked up at each call, so a corrected environment takes effect."""
 

@@ -100,6 +100,56 @@ def test_each_key_is_called_once_per_success(spark, tmp_path, template):
     assert counts == {"run": 1, "skipped": 1, "failed": 1} and seen.read_text().split() == ["i0", "i0"]
 
 
+@pytest.mark.parametrize("broken", ["results", "calls", "parse_failures"])
+def test_an_interrupted_run_is_logged_without_calling_again(spark, tmp_path, template, monkeypatch, broken):
+    asked, append = tmp_path / "asked", evaluation.append_log
+
+    def counting(provider):
+        def respond(request):
+            with open(asked, "a") as f:
+                f.write(request["item_id"] + "\n")
+            return {"text": "A" if request["item_id"] != "i1" else "?", "input_tokens": 1, "output_tokens": 1}
+
+        return respond
+
+    def fails(df, path):
+        if path.endswith(broken):
+            raise OSError("the disk is full")
+        append(df, path)
+
+    monkeypatch.setattr(evaluation, "append_log", fails)
+    with pytest.raises(OSError):
+        run(spark, tmp_path, template, items(spark, 3), models=["one"], responder=counting)
+    monkeypatch.setattr(evaluation, "append_log", append)
+    assert run(spark, tmp_path, template, items(spark, 3), models=["one"], responder=counting)[0] == {"run": 0, "skipped": 3, "failed": 0}
+    assert sorted(asked.read_text().split()) == ["i0", "i1", "i2"]
+    rows = lambda name, schema: logs.rows_of(logs.scan_log(spark, str(tmp_path / "out" / name), schema)).count()
+    assert (rows("results", schemas.RESULTS), rows("calls", schemas.CALLS), rows("parse_failures", schemas.PARSE_FAILURES)) == (3, 3, 1)
+
+
+def test_one_item_on_one_model(spark, template):
+    item = {"item_id": "i", "stem": "s", "options": {"A": "x"}, "gold": "A"}
+    got = evaluation.run_model(spark, CONFIG, "one", item, template, responder=always("(A)"))
+    assert (got["predicted"], got["correct"], got["status"], got["input_tokens"], got["model"]) == ("A", True, "run", 7, "name-one")
+    assert evaluation.run_model(spark, CONFIG, "one", item, template, mock=True)["predicted"] in schemas.LETTERS
+    assert evaluation.run_model(spark, CONFIG, "one", item, template, responder=always(None), sleep=lambda s: None)["status"] == "failed"
+    for model, change in (("open", {}), ("one", {"gold": None})):
+        with pytest.raises(ValueError):
+            evaluation.run_model(spark, CONFIG, model, item | change, template, responder=always())
+
+
+def test_clients_follow_their_credential(monkeypatch):
+    from gradus.sources import providers
+
+    made = []
+    responder = lambda provider: made.append(provider) or object()
+    monkeypatch.setenv("NVIDIA_API_KEY", "one")
+    first = providers.client(responder, "nvidia_build")
+    assert providers.client(responder, "nvidia_build") is first
+    monkeypatch.setenv("NVIDIA_API_KEY", "two")
+    assert providers.client(responder, "nvidia_build") is not first and made == ["nvidia_build"] * 2
+
+
 def test_empty_answer_is_a_failed_row(spark, tmp_path, template):
     assert run(spark, tmp_path, template, items(spark, 2), models=["one"], responder=always(None))[0] == {"run": 0, "skipped": 0, "failed": 2}
 

@@ -25,6 +25,21 @@ def test_scan_skips_and_tells(spark, tmp_path):
     assert logs.scan_log(spark, str(tmp_path / "none.jsonl"), schemas.CALLS).count() == 0
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = {name: [call(i) if i % 7 else ("" if i % 2 else "{x") for i in range(n)] for name, n in (("a.jsonl", 900), ("b.jsonl", 1), ("c.jsonl", 300))}
+    for name, rows in lines.items():
+        write(tmp_path / name, *rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4096", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            log = logs.numbered_log(spark, str(tmp_path / "*.jsonl"), schemas.CALLS)
+            got = {(r["file_name"], r["line_no"], r["item_id"]) for r in log.collect()}
+            assert got == {(n, i + 1, f"i{i}" if i % 7 else None) for n, rows in lines.items() for i, x in enumerate(rows) if x != ""}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_nulls_survive_a_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("i", None)], "item_id string, level string")
     logs.append_log(df, str(tmp_path / "out"))

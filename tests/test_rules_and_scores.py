@@ -111,6 +111,17 @@ def test_gates(spark):
     assert {tuple(r) for r in statistics.last_attempts(a).collect()} == {("x", 2, True), ("y", 3, False)}
 
 
+def test_jargon_scores(spark):
+    df = spark.createDataFrame([(1, "a bb"), (2, None)], "i int, text string")
+    got = {r["i"]: r["jargon"] for r in statistics.jargon_scores(df, lambda: lambda texts: [float(len(t)) for t in texts]).collect()}
+    assert got == {1: 4.0, 2: None}
+
+
+def test_least_shift(spark):
+    one = lambda v: spark.createDataFrame([(v,)], "v double")
+    assert statistics.shift_gate(one(4.52), one(3.0), "v", least=0.69).first()["passes"] is True
+
+
 def test_samples(spark):
     df = spark.range(100)
     one, two = sampling.sample(df, 10, 1, "id"), sampling.sample(df.repartition(9), 10, 1, "id")
