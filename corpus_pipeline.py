@@ -14,7 +14,11 @@ from gradus.llm.store import Workspace, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their group's adaptive limits reject go."""
+    """Documents that the base rules or their group's adaptive limits reject go.
+
+    Null and empty texts fail the base rules and go; null ids, repeated rows and null languages or sources are judged like any other
+    row; a rate that equals its limit stays; very long texts are measured whole; names of extra columns clash with nothing.
+    """
     return quality_rules.filter_documents(docs)
 
 
@@ -27,28 +31,38 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share go from every document; all documents stay.
 
     Near copies are one document here: else a text copied to many sites would lose its lines in all copies, the
-    first one too, before the next stage can keep that.
+    first one too, before the next stage can keep that.  Null texts stay null, empty ones empty; rows of a null id keep their lines;
+    repeated rows are treated alike; extra columns stay, whatever their names.
     """
-    cleaned = line_spread.remove_spread_lines(docs, copies=_copies(docs))
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cleaned = line_spread.remove_spread_lines(docs, copies=_copies(docs), counts=None)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at similarity 0.8 or more one stays, that of the smallest id."""
-    gone = _copies(docs).withColumnRenamed("doc_id", "__gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of documents linked at similarity 0.8 or more one stays, that of the smallest id.
+
+    Null and empty texts and rows of a null id are linked with nothing and stay; rows that repeat an id stay or go together; extra
+    columns stay, whatever their names.
+    """
+    gone = _copies(docs).select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an overlap with a benchmark item go."""
+    """Documents that hold an overlap with a benchmark item go.
+
+    Null and empty texts hold nothing and stay; rows of one id, also of a null one, stay or go together; very long texts are searched
+    whole; extra columns stay, whatever their names.
+    """
     work = Workspace(spark, "decontaminate")
     found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"), work)
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids; one row per piece."""
+    """Sequences of at most 2048 ids; one row per piece.  Null and empty texts give their end id; null ids and repeated rows are packed
+    like any other row; extra columns are not read."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
