@@ -2,9 +2,11 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 
 import corpus_pipeline
+from gradus.llm.oracles import ORACLES
 from gradus.llm.queries import tokenizer_path
 from gradus.llm.tokens import UnitEncoder
 
@@ -12,6 +14,21 @@ from .test_dedup import shingles
 from .test_filters import brute, item_words
 
 
+def overlaps(w, m):
+    """Whether a window of 13 words of both differs in at most 2 words; shifts with 11 equal words are tried."""
+    places, shifts = defaultdict(list), defaultdict(int)
+    for q, x in enumerate(m):
+        places[x].append(q)
+    for p, x in enumerate(w):
+        for q in places.get(x, ()):
+            shifts[p - q] += 1
+    for shift in (d for d, n in shifts.items() if n >= 11):
+        for q in range(max(0, -shift), min(len(m), len(w) - shift) - 12):
+            if sum(m[q + k] == w[q + shift + k] for k in range(13)) >= 11:
+                return True
+    return False
+
+
 def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, texts = docs.columns, {r["doc_id"]: (r["text"], r["source"]) for r in docs.collect()}
@@ -25,8 +42,9 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     kept = {r["doc_id"] for r in seen["quality_rules"]}
     base = {i: brute(t) for i, (t, _) in texts.items()}
     failed = {i for i, (n, _, _, _, rep) in base.items() if n < 50 or 100 * rep > 50 * n}
-    noisy = {i for i, b in base.items() if b[2] * 1000 // max(1, b[1]) > 60}
-    assert not kept & failed and not kept & noisy and kept >= {i for i, b in base.items() if i not in failed and b[2] == 0 and b[3] == 0 and b[4] == 0}
+    verdicts = duckdb.connect()
+    verdicts.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    assert not kept & failed and kept == {r[0] for r in verdicts.execute(f"select doc_id from ({ORACLES['op10_quality_rules']}) where kept").fetchall()}
 
     at = defaultdict(set)
     for r in seen["quality_rules"]:
@@ -53,10 +71,8 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     assert {r["doc_id"] for r in seen["near_dedup"]} == stay
 
     items = [item_words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    windows = {tuple(m[q : q + 13]) for m in items for q in range(len(m) - 12)}
-    exact = {i for i in stay if any(tuple(w[p : p + 13]) in windows for w in [item_words(want[i])] for p in range(len(w) - 12))}
     clean = {r["doc_id"] for r in seen["decontamination"]}
-    assert not clean & exact and len(clean) >= len(stay - exact) - 1
+    assert clean == {i for i in stay if not any(overlaps(item_words(want[i]), m) for m in items)}
 
     encoder = UnitEncoder(tokenizer_path("byte_bpe_50k.json"))
     got = defaultdict(int)
@@ -87,6 +103,25 @@ def test_copies_on_many_sites_survive_line_dedup_once(spark, tmp_path, sf_dir):
     assert left[0] == {show(exact)} and left[100] == {show(near)} and set(left) == {None, 0, 100, *range(200, 214)}
 
 
+def test_odd_rows_pass_all_stages(spark, tmp_path, sf_dir):
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
+    fine, long = say(80), say(60_000)
+    rows = [(None, fine), (1, None), (2, ""), (3, "  \n"), (4, fine), (4, fine), (5, say(90)), (5, say(90)), (6, long), (7, long + " end"), (None, None), (8, say(70))]
+    names = "row string, text_ string, bad string, gone_id long, key0 int, __n_lines int, n_words int, kept int, copy int"
+    docs = spark.createDataFrame([(i, t, None if i == 8 else "en", "s", 0, "x", "x", "x", 1, 2, 3, 4, 5, 6) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            got = docs.collect()
+            assert docs.columns == columns and all(tuple(r)[5:] == ("x", "x", "x", 1, 2, 3, 4, 5, 6) for r in got)
+            want = [None, 4, 4, 5, 5, 6, 7, 8] if name in ("quality_rules", "line_dedup") else [None, 4, 4, 5, 5, 6, 8]
+            assert sorted((r["doc_id"] for r in got), key=str) == sorted(want, key=str), name
+    assert sorted({r["doc_id"] for r in docs.collect()}, key=str) == sorted({None, 4, 5, 6, 8}, key=str)
+
+
 def test_empty_corpus(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
