@@ -16,7 +16,9 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
 
     Each round is written to the shared folder, so lineage stays short; links, labels and counts of nodes stay
     distributed, and the driver sees two numbers a round.  Rounds grow with the logarithm of the longest
-    path.  The minimum of a node's neighbours is aggregated before shuffling, so a hub is no hot task.
+    path.  The minimum of a node's neighbours is aggregated before shuffling.  Joining it back sends a hub's links to one task where both
+    sides are shuffled; that is a plain join, whose large partitions Spark's adaptive execution divides.  Shuffle files of a round go
+    before the next.
     """
     edges = work.write(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
     stamp = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -31,6 +33,7 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
         edges_next = work.write(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-{k}")
         after = stamp(edges_next)
         work.drop(f"{name}-{k - 1}")
+        work.release_shuffles()
         edges = edges_next
         if after == before:
             break

@@ -126,14 +126,19 @@ def _hidden(members: DataFrame, sets: DataFrame, percent: int, work: Workspace)
     row, family = F.xxhash64("a", "sa").alias("row"), F.xxhash64("b", "sb").alias("b")
     rows = members.join(other, "b").select("a", row, family, "label", n.alias("n"), F.size(e).alias("e"), F.size(d).alias("d"), F.concat(e, d).alias("difference"))
     rows = work.write(rows.withColumn("g", percent * (F.col("n") + F.col("e")) - 100 * (F.col("n") - F.col("d"))), "differences")
+    work.release_shuffles()
     bounds = rows.groupBy("b").agg(F.min("g").alias("least"), F.min(F.when(F.col("g") > 0, F.col("g"))).alias("least_unlinked")).where("least_unlinked is not null")
     bounded = rows.join(bounds, "b")
     partner = F.when(F.col("g") > 0, F.col("least")).otherwise(F.col("least_unlinked"))
     needed = F.greatest(F.lit(1), F.ceil((F.col("g") + partner + (100 - percent) * F.col("n")) / F.lit(100 + percent)))
-    long = bounded.withColumn("prefix", F.col("e") + F.col("d") - needed + 1).where("prefix > 0").select("a", "row", "b", "label", "n", "e", "d", "g", "prefix", F.explode("difference").alias("s"))
-    spread = long.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    ranked = long.join(spread, ["b", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("b", "row").orderBy("df", "s")))
-    firsts = work.write(ranked.where("place <= prefix and lo <> hi").select("b", "s", "a", "label", "n", "e", "d", "g", (F.col("e") + F.col("d") - F.col("place")).alias("rest")), "prefixes")
+    # elements travel with the keys of their family and row only; what else a row has is joined to the few that the filter leaves
+    long = bounded.withColumn("prefix", F.col("e") + F.col("d") - needed + 1).where("prefix > 0").select("b", "row", "label", "prefix", F.explode("difference").alias("s"))
+    spread = long.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).select("b", "s", "df", (F.col("lo") != F.col("hi")).alias("mixed"))
+    ranked = long.drop("label").join(spread, ["b", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("b", "row").orderBy("df", "s")))
+    kept = ranked.where("place <= prefix and mixed").groupBy("b", "row").agg(F.collect_list(F.struct("s", "place")).alias("kept"))
+    about = rows.select("b", "row", "a", "label", "n", "e", "d", "g").dropDuplicates(["b", "row"])
+    firsts = work.write(kept.join(about, ["b", "row"]).withColumn("k", F.explode("kept")).select("b", F.col("k.s").alias("s"), "a", "label", "n", "e", "d", "g", (F.col("e") + F.col("d") - F.col("k.place")).alias("rest")), "prefixes")
+    work.release_shuffles()
     own = ("a", "label", "n", "e", "d", "g", "rest")
     left, right = (firsts.select("b", "s", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "xy")
     size = lambda side: F.col(f"n_{side}") + F.col(f"e_{side}") - F.col(f"d_{side}")
@@ -191,6 +196,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = known.join(several, "doc_id", "left_semi").select("doc_id", "class").distinct().join(reps.select("class", "rep"), "class").select("doc_id", "rep")
     same = own.groupBy("doc_id").agg(F.min("rep").alias("b")).join(own, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     links = work.write(verified(star_pairs).union(same), "links")
+    work.release_shuffles()
     labels = work.write(components(links, work, "first"), "labels")
 
     # whether a leader's members differ is aggregated before it meets the leader, so one with many members is no hot row of the join
@@ -200,10 +206,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = F.coalesce("b_label", "b")
     mixed = spread.where((F.least("lo", own) != F.greatest("hi", own)) & (F.col("n") > 1)).select("b")
     members = work.write(families.join(mixed, "b", "left_semi"), "members")
+    work.release_shuffles()
     if not members.isEmpty():
         more = verified(_hidden(star_pairs.join(members, ["a", "b"]), sets, percent, work).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
         links = work.write(links.union(more), "all-links")
+        work.release_shuffles()
         labels = work.write(components(links, work, "second"), "all-labels")
+    work.release_shuffles()
     for name in ("tables", "partners", "sets", "links", "members", "differences", "prefixes"):
         work.drop(name)  # the result reads features, classes and labels only
     repeated = known.join(reps.select("class", "rep"), "class").select("doc_id", "rep")
