@@ -118,7 +118,9 @@ def _hidden(members: DataFrame, sets: DataFrame, percent: int, work: Workspace)
     positive for members that the leader is not linked with; of two labels one is.  So a link has common elements,
     and an exact prefix and position filter over differences finds it: with elements ordered from rare to
     frequent in the family, the first common one is among the first size - least q + 1 of both, and what
-    follows it on either side has to suffice.  Shingles that the family shares are in no difference.
+    follows it on either side has to suffice; so an element counts only if rows of two labels have it that early.  The least q
+    of x takes y's part, 100 * dy + percent * ey, for the least of the family, and for percent * (ey + dy) at least, as
+    100 * (ey + dy) >= gx follows from q <= ey + dy.  Shingles that the family shares are in no difference.
     """
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     e, d, n = F.array_except("sa", "sb"), F.array_except("sb", "sa"), F.size("sb")
@@ -130,12 +132,17 @@ def _hidden(members: DataFrame, sets: DataFrame, percent: int, work: Workspace)
     bounds = rows.groupBy("b").agg(F.min("g").alias("least"), F.min(F.when(F.col("g") > 0, F.col("g"))).alias("least_unlinked")).where("least_unlinked is not null")
     bounded = rows.join(bounds, "b")
     partner = F.when(F.col("g") > 0, F.col("least")).otherwise(F.col("least_unlinked"))
-    needed = F.greatest(F.lit(1), F.ceil((F.col("g") + partner + (100 - percent) * F.col("n")) / F.lit(100 + percent)))
+    part = F.greatest(partner + (100 - percent) * F.col("n"), percent * F.ceil(F.col("g") / F.lit(100)))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("g") + part) / F.lit(100 + percent)))
     # elements travel with the keys of their family and row only; what else a row has is joined to the few that the filter leaves
     long = bounded.withColumn("prefix", F.col("e") + F.col("d") - needed + 1).where("prefix > 0").select("b", "row", "label", "prefix", F.explode("difference").alias("s"))
-    spread = long.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).select("b", "s", "df", (F.col("lo") != F.col("hi")).alias("mixed"))
-    ranked = long.drop("label").join(spread, ["b", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("b", "row").orderBy("df", "s")))
-    kept = ranked.where("place <= prefix and mixed").groupBy("b", "row").agg(F.collect_list(F.struct("s", "place")).alias("kept"))
+    mixed = (F.min("label") != F.max("label")).alias("mixed")
+    spread = long.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), mixed)
+    ranked = long.join(spread, ["b", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("b", "row").orderBy("df", "s")))
+    early = work.write(ranked.where("place <= prefix and mixed").select("b", "row", "s", "place", "label"), "early")
+    work.release_shuffles()
+    met = early.groupBy("b", "s").agg(mixed).where("mixed").select("b", "s")
+    kept = early.join(met, ["b", "s"], "left_semi").groupBy("b", "row").agg(F.collect_list(F.struct("s", "place")).alias("kept"))
     about = rows.select("b", "row", "a", "label", "n", "e", "d", "g").dropDuplicates(["b", "row"])
     firsts = work.write(kept.join(about, ["b", "row"]).withColumn("k", F.explode("kept")).select("b", F.col("k.s").alias("s"), "a", "label", "n", "e", "d", "g", (F.col("e") + F.col("d") - F.col("k.place")).alias("rest")), "prefixes")
     work.release_shuffles()
@@ -213,7 +220,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         work.release_shuffles()
         labels = work.write(components(links, work, "second"), "all-labels")
     work.release_shuffles()
-    for name in ("tables", "partners", "sets", "links", "members", "differences", "prefixes"):
+    for name in ("tables", "partners", "sets", "links", "members", "differences", "early", "prefixes"):
         work.drop(name)  # the result reads features, classes and labels only
     repeated = known.join(reps.select("class", "rep"), "class").select("doc_id", "rep")
     placed = repeated.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component"))
