@@ -52,7 +52,7 @@ def merge(folder: str, out: str) -> int:
     except FileNotFoundError as e:
         print(e)
         return 1
-    overwrite_log(calls.coalesce(1), out)
+    overwrite_log(calls, out)
     for r in people.orderBy("person").collect():
         print(f"{r['person']:<16} {r['calls']:>10,} {r['usd']:>10.2f}")
     for r in stages.orderBy(stages["stage"].asc_nulls_last()).collect():

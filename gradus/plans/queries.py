@@ -360,12 +360,12 @@ def missing_placeholders(spark, sf_dir):
 
 @query(f"""WITH {fx.SQL_SHARED} SELECT row_number() OVER (ORDER BY coalesce(ts, ''), person, line_no) AS line_no, ts, stage, model, item_id, level, person AS _logged_by FROM marked WHERE kept""")
 def merge_log_files(spark, sf_dir):
-    """Logs as files, merged, written as one ordered log and read again."""
+    """Logs as files, merged, written as one ordered log, in parts, and read again."""
     from ..sources import logs
 
     calls, _, _ = merging.merge_logs(spark, fx.log_files(spark, sf_dir))
     out = fx.scratch(spark, "merged")
-    logs.overwrite_log(calls, out, [F.coalesce("ts", F.lit("")), F.monotonically_increasing_id()])
+    logs.overwrite_log(calls, out)
     return logs.numbered_log(spark, out, schemas.CALLS_MERGED).select("line_no", "ts", "stage", "model", "item_id", "level", "_logged_by")
 
 

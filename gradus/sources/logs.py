@@ -8,11 +8,16 @@ from pyspark.sql.types import StructType
 from ..functions.answers import strip
 
 
-def file_names(spark: SparkSession, path: str) -> list[str]:
-    """Names of what the path or glob has, empty files too, in order."""
+def _found(spark: SparkSession, path: str) -> list:
+    """Hadoop paths of what the path or glob has."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return sorted(f.getPath().getName() for f in found or [])
+    return [f.getPath() for f in found or []]
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what the path or glob has, empty files too, in order."""
+    return sorted(f.getName() for f in _found(spark, path))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -43,19 +48,31 @@ def scan_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def numbered_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """As ``scan_log``, with line_no: 1 for the first line of its file, blank lines counted.
+    """As ``scan_log``, with line_no: 1 for the first line of its log, blank lines counted.
 
-    Files are read in splits: lines are numbered within their split, and the counts of the splits before it, a row each, are
-    added, so a file of any size is read by many tasks.
+    What the path or glob names is a log: a file, or a folder with the log's parts, by the number that Spark gave them or else by
+    name; file_name is the log's own name.  Logs are read in splits: lines are numbered within their split, and the counts of the
+    splits before it, a row each, are added, so a log of any size is read by many tasks.
     """
     empty = {"file_name": F.lit(None).cast("string"), "line_no": F.lit(None).cast("long"), "malformed": F.lit(None).cast("string")}
-    if not path_exists(spark, path):
+    found = _found(spark, path)
+    if not found:
         return spark.createDataFrame([], schema).withColumns(empty)
-    read = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    depths = {p.depth() for p in found}
+    if len(depths) > 1:
+        raise ValueError(f"logs at different depths: {path}")
+    level = depths.pop() + 1
+    read = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     lines = read.withColumn("place", F.monotonically_increasing_id())
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    numbered = lines.join(blocks, ["file", "block"]).select("value", "file_name", (F.col("place") - F.col("first") + F.col("before") + 1).alias("line_no"))
+    names = F.split(F.regexp_replace("file", "^[^:/]+:(//[^/]*)?", ""), "/")
+    log = {"log": F.array_join(F.slice(names, 1, level), "/"), "file_name": F.url_decode(F.replace(F.get(names, F.lit(level - 1)), F.lit("+"), F.lit("%2B")))}
+    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.partitionBy("log").orderBy(part, "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).withColumns(log).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    here = F.col("place") - F.col("first")
+    # Both scans have to cut the files alike, which a change in the number of executors between them could prevent.
+    line_no = F.when((here >= 0) & (here < F.col("n")), here + F.col("before") + 1).otherwise(F.raise_error(F.lit("the logs were split anew while they were numbered")).cast("long"))
+    numbered = lines.join(splits, ["file", "block"], "left").select("value", "file_name", line_no.alias("line_no"))
     return parsed_lines(numbered, schema).select(*schema.fieldNames(), "file_name", "line_no", "malformed")
 
 
@@ -94,6 +111,6 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def overwrite_log(df: DataFrame, path: str, order_by: list[Column] | None = None) -> None:
-    """Replaces a log; with an order, as one ordered file (for people to read: rollups and merges stay distributed)."""
-    out = df.orderBy(*order_by).coalesce(1) if order_by else df
+    """Replaces a log, a folder whose parts, one after the other, have the rows in the order of ``df`` or the given one."""
+    out = df.orderBy(*order_by) if order_by else df
     out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

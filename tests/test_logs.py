@@ -104,3 +104,53 @@ def test_unknown_stage_fails(spark):
     df = spark.createDataFrame([("eval",), ("nope",)], "stage string")
     with pytest.raises(Exception, match="stage must be one of"):
         costs.check_stages(df).collect()
+
+
+def test_a_folder_is_one_log_in_order_of_its_parts(spark, tmp_path):
+    part = lambda n: f"part-{n:05d}-x-c000.json"
+    ana, bo = tmp_path / "api_calls_ána +%20b.jsonl", tmp_path / "api_calls_bo.jsonl"
+    ana.mkdir()
+    rows = [call(i) if i % 5 else "" for i in range(60)]
+    for at, n in ((0, 0), (20, 99_999), (40, 100_000)):
+        write(ana / part(n), *rows[at : at + 20])
+    (ana / "_SUCCESS").write_text("")
+    write(ana / part(7))
+    write(bo, call(70), "{x")
+    (tmp_path / "api_calls_cy.jsonl").mkdir()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = {(ana.name, i + 1, f"i{i}") for i in range(60) if i % 5} | {("api_calls_bo.jsonl", 1, "i70"), ("api_calls_bo.jsonl", 2, None)}
+    try:
+        for size in ("512", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = merging.read_shared_logs(spark, str(tmp_path)).select("file_name", "line_no", "item_id").collect()
+            assert len(got) == len(want) and set(map(tuple, got)) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    people = {r["person"]: r["calls"] for r in merging.merge_logs(spark, str(tmp_path))[1].collect()}
+    assert people == {"ána +%20b": 48, "bo": 1, "cy": 0}
+
+
+def lines_by_part(folder):
+    return [n for p in sorted(folder.glob("part-*")) if (n := len(p.read_text().splitlines()))]
+
+
+def test_merged_log_is_written_in_ordered_parts(spark, tmp_path):
+    from gradus import cli
+
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in/api_calls_ana.jsonl", *[call(i, ts=f"{i * 7919 % 4000:04d}") for i in range(4000)])
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert cli.merge(str(tmp_path / "in"), str(tmp_path / "cli")) == 0
+        calls, _, _ = merging.merge_logs(spark, str(tmp_path / "in"))
+        logs.overwrite_log(calls, str(tmp_path / "out"))
+        logs.overwrite_log(calls, str(tmp_path / "back"), [calls["ts"].desc()])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    up = [f"{i:04d}" for i in range(4000)]
+    for name, want in (("cli", up), ("out", up), ("back", up[::-1])):
+        n = lines_by_part(tmp_path / name)
+        assert len(n) > 1 and max(n) < 2000 and sum(n) == 4000
+        got = logs.numbered_log(spark, str(tmp_path / name), schemas.CALLS_MERGED).orderBy("line_no").select("line_no", "ts").collect()
+        assert [tuple(r) for r in got] == list(enumerate(want, 1))
