@@ -154,3 +154,22 @@ def test_merged_log_is_written_in_ordered_parts(spark, tmp_path):
         assert len(n) > 1 and max(n) < 2000 and sum(n) == 4000
         got = logs.numbered_log(spark, str(tmp_path / name), schemas.CALLS_MERGED).orderBy("line_no").select("line_no", "ts").collect()
         assert [tuple(r) for r in got] == list(enumerate(want, 1))
+
+
+def test_log_files_are_written_in_ordered_parts(spark, sf_dir):
+    from pathlib import Path
+
+    from gradus.plans import fixtures as fx
+
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        folder = fx.log_files(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    log = merging.read_shared_logs(spark, folder)
+    rows = log.where("malformed is null").groupBy("file_name").count().collect()
+    for r in rows:
+        n = lines_by_part(Path(folder.removeprefix("file://")) / r["file_name"])
+        assert len(n) > 1 and max(n) < 0.5 * sum(n) and sum(n) == r["count"] + 2
+    assert {(r["file_name"], r["line_no"]) for r in logs.malformed_lines(log).collect()} == {(f"api_calls_{p}.jsonl", 2) for p in ("ana", "bo")}
