@@ -52,7 +52,7 @@ def numbered_log(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
     What the path or glob names is a log: a file, or a folder with the log's parts, by the number that Spark gave them or else by
     name; file_name is the log's own name.  Logs are read in splits: lines are numbered within their split, and the counts of the
-    splits before it, a row each, are added, so a log of any size is read by many tasks.
+    splits before it, a row each, are broadcast and added, so a log of any size is read by many tasks and not shuffled.
     """
     empty = {"file_name": F.lit(None).cast("string"), "line_no": F.lit(None).cast("long"), "malformed": F.lit(None).cast("string")}
     found = _found(spark, path)
@@ -72,7 +72,7 @@ def numbered_log(spark: SparkSession, path: str, schema: StructType) -> DataFram
     here = F.col("place") - F.col("first")
     # Both scans have to cut the files alike, which a change in the number of executors between them could prevent.
     line_no = F.when((here >= 0) & (here < F.col("n")), here + F.col("before") + 1).otherwise(F.raise_error(F.lit("the logs were split anew while they were numbered")).cast("long"))
-    numbered = lines.join(splits, ["file", "block"], "left").select("value", "file_name", line_no.alias("line_no"))
+    numbered = lines.join(F.broadcast(splits), ["file", "block"], "left").select("value", "file_name", line_no.alias("line_no"))
     return parsed_lines(numbered, schema).select(*schema.fieldNames(), "file_name", "line_no", "malformed")
 
 

@@ -173,3 +173,14 @@ def test_log_files_are_written_in_ordered_parts(spark, sf_dir):
         n = lines_by_part(Path(folder.removeprefix("file://")) / r["file_name"])
         assert len(n) > 1 and max(n) < 0.5 * sum(n) and sum(n) == r["count"] + 2
     assert {(r["file_name"], r["line_no"]) for r in logs.malformed_lines(log).collect()} == {(f"api_calls_{p}.jsonl", 2) for p in ("ana", "bo")}
+
+
+def test_numbered_log_does_not_shuffle_lines(spark, tmp_path):
+    write(tmp_path / "a.jsonl", call(1), "{x")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = logs.numbered_log(spark, str(tmp_path / "*.jsonl"), schemas.CALLS)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
